@@ -27,6 +27,35 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read_table(spark, sf_dir, "label_sessions"), "row_id", "_text", "chunk_index", b.capacity, b.overlap_len)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .overlap import overlapping_pairs
+
+    return overlapping_pairs(read_table(spark, sf_dir, "gold_ner"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .overlap import overlap_report
+
+    return overlap_report(read_table(spark, sf_dir, "gold_ner"))
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, language_segments
+
+    examples = read_table(spark, sf_dir, "training_examples").select("example_id", "text", "language")
+    return language_segments(examples, *fit(examples))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import mislabelled
+
+    return mislabelled(_segmented(spark, sf_dir))
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir).select("example_id", F.explode("segments").alias("s")).select("example_id", "s.*")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_counts(spark, sf_dir).select("item_text")
 
