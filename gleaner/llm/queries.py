@@ -94,5 +94,51 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_forms(read_table(spark, sf_dir, "training_examples"))
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.session import cut_lineage
+
+    from .tokens import n_tokens
+
+    return cut_lineage(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", n_tokens("text").alias("n_tokens")))
+
+
+def _packed(spark: SparkSession, sf_dir: str, budget: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_sized(spark, sf_dir), _budget(spark, sf_dir, budget).capacity)
+
+
+def p8_pack_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "pack_small")
+
+
+def p8_pack_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "pack_large")
+
+
+def p8_fill_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import fill_report
+
+    return fill_report(p8_pack_small(spark, sf_dir), _budget(spark, sf_dir, "pack_small").capacity)
+
+
+def p8_fill_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import fill_report
+
+    return fill_report(p8_pack_large(spark, sf_dir), _budget(spark, sf_dir, "pack_large").capacity)
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import share_report
+
+    return share_report(p9_selection(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict:
-    return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
