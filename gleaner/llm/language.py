@@ -33,7 +33,8 @@ LANGUAGES = list(LABELS)
 _CODES = {name: code for code, names in LABELS.items() for name in names.split()}
 
 _BREAK = re.compile(r"[\r\n]+\s*|(?<=[.!?।…])[\"'»”)\]]*\s+(?:[—–>*•-]\s+)?")
-_SHORT = re.compile(r"(?:^|[\s(])[^\W\d_]{1,3}\.$")  # an abbreviation or initial, most likely
+# Abbreviations whose point ends no sentence; a single letter is an initial.
+ABBREVIATION = re.compile(r"(?:^|[\s(])(?:[^\W\d_]|no|nr|ref|réf|rif|az|st|soc|sec|esq|tel|str|dr|mr|mrs|ms|bzw|ca|av)\.$", re.I)
 _NOISE = re.compile(r"\S*[@\d]\S*")  # addresses and numbers are of no language
 _WORD = re.compile(r"[^\W\d_]{2,}(?:[ऀ-ॿ]*)")
 _CASED = re.compile(r"[^\W\d_]")
@@ -53,7 +54,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     all_small = text == text.lower()
     for m in _BREAK.finditer(text):
         nxt = text[m.end() : m.end() + 1]
-        if "\n" not in m.group() and "\r" not in m.group() and (not all_small and nxt.islower() or _SHORT.search(text, start, m.start())):
+        if "\n" not in m.group() and "\r" not in m.group() and (not all_small and nxt.islower() or ABBREVIATION.search(text, start, m.start())):
             continue
         if m.start() > start:
             spans.append((start, m.start()))

@@ -140,5 +140,23 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p9_selection(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
+def _mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subjects import document_subjects
+
+    return document_subjects(*(read_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subject_areas")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subjects import found_subjects
+
+    return found_subjects(_mixtures(spark, sf_dir))
+
+
+def p10_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subjects import corpus_by_subject
+
+    return corpus_by_subject(_mixtures(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
