@@ -72,6 +72,21 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_groups(read_table(spark, sf_dir, "gold_ner"), read_table(spark, sf_dir, "gold_sources"))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal, fit, texts_of
+
+    texts = texts_of(read_table(spark, sf_dir, "training_examples"), read_table(spark, sf_dir, "challenge"))
+    return find_personal(texts, fit(texts))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("tab", "row_key", F.explode("spans").alias("s")).select("tab", "row_key", "s.*")
+
+
+def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("tab", "row_key", "masked")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
