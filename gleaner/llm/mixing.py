@@ -58,7 +58,7 @@ def settled_source(c: Column) -> Column:
 
 
 def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, times): documents to use, and how often each.
+    """(doc_id, source, lang, n_tokens, times): every document of a source with a target, and how often to use it (0: left out).
 
     ``sized(doc_id, source, lang, n_tokens)``, ``targets(source, target_share, max_repeats)``.
     ``total``: tokens wanted; by default the most for which every source present can give exactly
@@ -102,7 +102,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
             docs = _take_prefix(docs, ["source"], spark.createDataFrame(rest, "source string, _rest double"))
         if not rest or docs.filter("_more > 0").count() == before.filter("_more > 0").count():
             break
-    return docs.withColumn("times", F.least("_most", F.col("_whole") + F.col("_more"))).filter("times > 0").select("doc_id", "source", "lang", "n_tokens", "times")
+    return docs.withColumn("times", F.least("_most", F.col("_whole") + F.col("_more"))).select("doc_id", "source", "lang", "n_tokens", "times")
 
 
 def _take_prefix(docs: DataFrame, group: list[str], rests: DataFrame | list) -> DataFrame:
