@@ -1,0 +1,72 @@
+"""Streams driven to their end over the given tables, as queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gleaner.session import ensure_checkpoint_dir, read_table
+from gleaner.streaming import text as T
+
+from .detect import extraction_sql
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+NAMES = ["email", "phone_us", "phone_intl", "ssn"]
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = read_table(spark, sf_dir, table).schema
+    reader = spark.readStream.schema(schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/{table}.parquet")
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)  # a stream reads folders
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that the stream yields until its input is used up, written to the shared folder and read again."""
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    out = f"{base}/out"
+    put = lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
+    q.awaitTermination()
+    got = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    if mode == "complete":
+        last = got.agg(F.max("batch")).first()[0]
+        got = got.filter(F.col("batch") == last)
+    return got.drop("batch")
+
+
+@query(f"select text, pattern_name, matched_text from ({extraction_sql('challenge', NAMES)}) join challenge using (id)")
+def t3_detect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(T.detected(_stream(spark, sf_dir, "challenge"), "text", NAMES), "append")
+
+
+@query(f"select pattern_name, count(*) as n from ({extraction_sql('challenge', NAMES)}) group by 1")
+def t3_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(T.counted(_stream(spark, sf_dir, "challenge"), "text", NAMES), "complete")
+
+
+@query()
+def t1_anonymized_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(T.anonymized(_stream(spark, sf_dir, "challenge").select("id", "text"), "text", NAMES, b"a key for tests only"), "append")
+
+
+@query("select event_type, count(*) as n from events group by 1")
+def t5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(_stream(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), "complete")
