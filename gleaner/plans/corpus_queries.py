@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 @query("select session, cwd, regexp_matches(cwd, '^/home/[^/]*/work/[^/]*$') as matches from trace_sessions where cwd is not null")
-def p6_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p6_path_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "trace_sessions").filter("cwd is not null").select("session", "cwd", F.col("cwd").rlike(C.path_form("/home/*/work/*")).alias("matches"))
 
 
@@ -35,7 +35,7 @@ _RULES = ["(?i)password", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "@[a-z.-]+\\.(test|inval
 
 
 @query(f"select doc_id, case {' '.join(f'when regexp_matches(text, {quoted(r)}) then {i}' for i, r in enumerate(_RULES))} end as denied_by from documents")
-def p13_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p13_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", C.denied_by(F.col("text"), _RULES).alias("denied_by"))
 
 
@@ -89,7 +89,7 @@ _U = "(select id, list_distinct(list_transform(spans, lambda s: s.class)) as cla
 
 
 @query(f"select id, len(classes) > 0 and len(list_filter(classes, lambda c: c not in ('person', 'email', 'phone_us', 'phone_intl'))) = 0 as approved from {_U}")
-def p19_approved_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p19_approved_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = read_table(spark, sf_dir, "challenge").filter("spans is not null").select("id", F.array_distinct(F.transform("spans", lambda s: s["class"])).alias("classes"))
     return C.approved(u, ["person", "email", "phone_us", "phone_intl"]).select("id", "approved")
 
@@ -214,7 +214,7 @@ def x10_word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select entity_type as label, case entity_type when 'first_name' then 'person' when 'last_name' then 'person' when 'phone_us' then 'phone' when 'phone_intl' then 'phone' else entity_type end as coarse, count(*) as n from (select a.entity_type from (select unnest(annotations) as a from training_examples)) group by 1, 2")
-def p22_coarse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p22_coarse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a")).select(F.col("a.entity_type").alias("label"))
     coarse = F.when(F.col("label").isin("first_name", "last_name"), "person").when(F.col("label").isin("phone_us", "phone_intl"), "phone").otherwise(F.col("label"))
     return a.groupBy("label", coarse.alias("coarse")).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleaner.functions import patterns as P, rulesets as R
 from gleaner.operators.extract import WINDOW, findings
 from gleaner.operators.summary import blockers, summary
-from gleaner.session import read_table
+from gleaner.session import read_table, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,7 +92,7 @@ def _extraction(table: str, group: str):
     key, text = TEXTS[table]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return findings(read_table(spark, sf_dir, table), [key], text, GROUPS[group])
+        return findings(spread(read_table(spark, sf_dir, table), key), [key], text, GROUPS[group])
 
     QUERIES[f"s24_{group}_{table}"] = run
     SQL[f"s24_{group}_{table}"] = extraction_sql(table, GROUPS[group])
@@ -166,19 +166,19 @@ def r16_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select name from (values " + ", ".join(f"({quoted(p.name)}, {P.CONFIDENCE_RANK[p.confidence]})" for p in P.ALL) + ") as t(name, rank) where rank >= 1 and name not in ('date', 'uuid')")
-def p1_selected_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p1_selected_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.selected(R.pattern_table(spark), "medium", [], ["date", "uuid"]).select("name")
 
 
 @query("select * from (values " + ", ".join(f"({quoted(r)}, {quoted(n)})" for r, ns in R.RULESETS.items() for n in ns) + ") as t(ruleset, pattern)")
-def p3_rulesets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p3_rulesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ruleset_table(spark)
 
 
 @query(f"select pattern_name, count(*) as n from ({extraction_sql('training_examples', GROUPS['identity'] + GROUPS['contact'])}) where pattern_name in ({', '.join(quoted(n) for n in R.RULESETS['identity'])}) group by 1")
-def p2_ruleset_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p2_ruleset_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [n for n in R.resolve(cli=None, ruleset="identity", config=None) if n in GROUPS["identity"] + GROUPS["contact"]]
-    return findings(read_table(spark, sf_dir, "training_examples"), ["example_id"], "text", names).groupBy("pattern_name").agg(F.count("*").alias("n"))
+    return findings(spread(read_table(spark, sf_dir, "training_examples"), "example_id"), ["example_id"], "text", names).groupBy("pattern_name").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ summaries
@@ -189,25 +189,25 @@ _SUMMARY_NAMES = ["email", "phone_us", "phone_intl", "ssn", "date"]
 @query(f"""select lang, pattern_name, category, count(*) as n from (select f.*, d.lang from ({extraction_sql('documents', _SUMMARY_NAMES)}) f join documents d using (doc_id))
 group by grouping sets ((lang, pattern_name), (lang, category), (lang))""")
 def a1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     return summary(findings(d, ["doc_id", "lang"], "text", _SUMMARY_NAMES), ["lang"])
 
 
 @query(f"select pattern_name, sum(n)::bigint as n from (select doc_id, pattern_name, count(*) as n from ({extraction_sql('documents', _SUMMARY_NAMES)}) group by 1, 2) group by 1")
 def a2_merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = findings(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", _SUMMARY_NAMES).groupBy("doc_id", "pattern_name").agg(F.count("*").alias("n"))
+    per = findings(spread(read_table(spark, sf_dir, "documents"), "doc_id"), ["doc_id"], "text", _SUMMARY_NAMES).groupBy("doc_id", "pattern_name").agg(F.count("*").alias("n"))
     return per.groupBy("pattern_name").agg(F.sum("n").alias("n"))
 
 
 @query(f"""select pattern_name, min(o) as first_seen from (select pattern_name, row_number() over (order by doc_id, start_cp, end_cp desc, pattern_name) as o from ({extraction_sql('documents', _SUMMARY_NAMES)})
 where pattern_name in ('email', 'ssn') or category = 'other') group by 1""")
 def a20_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", _SUMMARY_NAMES)
+    f = findings(spread(read_table(spark, sf_dir, "documents"), "doc_id"), ["doc_id"], "text", _SUMMARY_NAMES)
     return blockers(f, ["doc_id", "start_cp"], ["email", "ssn", "other"])
 
 
 @query(f"select distinct doc_id from ({extraction_sql('documents', _SUMMARY_NAMES)}) where pattern_name in ('ssn') or category = 'other'")
-def p14_fail_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p14_fail_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.operators.summary import fail_on
 
-    return fail_on(findings(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", _SUMMARY_NAMES), ["ssn", "other"]).select("doc_id").distinct()
+    return fail_on(findings(spread(read_table(spark, sf_dir, "documents"), "doc_id"), ["doc_id"], "text", _SUMMARY_NAMES), ["ssn", "other"]).select("doc_id").distinct()

@@ -123,7 +123,7 @@ def u5_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"select record_id, g.start_cp, g.label from {_GOLD} g join gold_ner using (record_id) where label = 'PERSON' and regexp_matches(substr(text, g.start_cp + 1, g.end_cp - g.start_cp), '\\p{{Lu}}') and not (regexp_matches(substr(text, g.end_cp + 1, 2), '^\\.[\\p{{L}}\\p{{N}}]|^\\(') or substr(text, g.start_cp, 1) = '.')")
-def p10_person_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p10_person_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gold(spark, sf_dir).filter("label = 'PERSON'").join(read_table(spark, sf_dir, "gold_ner").select("record_id", "text"), "record_id")
     cut = lambda e: F.expr(e)
     ok = S.person_like(cut("substring(text, start_cp + 1, end_cp - start_cp)"), cut("if(start_cp > 0, substring(text, start_cp, 1), '')"), cut("substring(text, end_cp + 1, 2)"))
@@ -131,14 +131,14 @@ def p10_person_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select * from (values ('https://a.example/x', true), ('www.b.example', true), ('readme.md', false), ('host.example.org/path', true), ('drwxr-xr-x', false), ('a.b', false), ('lib.rs', false)) as t(value, url)")
-def p10_url_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p10_url_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = ["https://a.example/x", "www.b.example", "readme.md", "host.example.org/path", "drwxr-xr-x", "a.b", "lib.rs"]
     d = spark.createDataFrame([(x,) for x in v], "value string")
     return d.select("value", S.url_like(F.col("value")).alias("url"))
 
 
 @query(f"select example_id, start_cp, end_cp, label from {ANN} a where not exists (select 1 from {ANN} k where k.example_id = a.example_id and k.label = 'email' and a.start_cp < k.end_cp and a.end_cp > k.start_cp)")
-def p17_keep_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p17_keep_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.operators.spans import without_overlap
 
     a = annotated(spark, sf_dir)
@@ -146,7 +146,7 @@ def p17_keep_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select record_id, case when entities is null or len(entities) = 0 then 'no_entities' when not annotation_complete then 'incomplete' when len(list_filter(entities, lambda e: e.end_cp - e.start_cp < 3)) > 0 then 'short_span' else 'kept' end as reason from gold_ner where annotation_complete is not null")
-def p20_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p20_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = read_table(spark, sf_dir, "gold_ner").filter("annotation_complete is not null")
     short = F.exists("entities", lambda e: (e["end_cp"] - e["start_cp"]) < 3)
     reason = F.when(F.col("entities").isNull() | (F.size("entities") == 0), "no_entities").when(~F.col("annotation_complete"), "incomplete").when(short, "short_span").otherwise("kept")

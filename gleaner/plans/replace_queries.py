@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleaner.functions import patterns as P, replacements as R
 from gleaner.operators import replace as X
 from gleaner.operators.extract import findings
-from gleaner.session import read_table
+from gleaner.session import read_table, spread
 
 from .detect import extraction_sql, quoted
 
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(read_table(spark, sf_dir, "challenge"), ["id"], "text", NAMES)
+    return findings(spread(read_table(spark, sf_dir, "challenge"), "id"), ["id"], "text", NAMES)
 
 
 _LABEL = "case pattern_name " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in P.LABELS.items()) + " else '<PII>' end"

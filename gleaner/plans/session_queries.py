@@ -63,14 +63,14 @@ def s5_json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select k || '.b[' || i || '].c' as path, regexp_matches(k || '.b[' || i || '].c', '^.*$') and (k = 'a' or i = 1) and not (k = 'z') as scanned from (values ('a'), ('z'), ('m')) t(k), range(0, 3) r(i)")
-def p5_selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p5_selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = spark.createDataFrame([("a",), ("z",), ("m",)], "k string").withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
     p = k.select(F.concat("k", F.lit(".b["), "i", F.lit("].c")).alias("path"))
     return p.select("path", U.should_scan(F.col("path"), ["a.**", "*.b[1].c"], ["z"]).alias("scanned"))
 
 
 @query("""select * from (values ('a.b', 'a.b', true), ('a.b', 'a.b.c', false), ('a.*', 'a.b', true), ('a.*', 'a.b.c', false), ('a.**', 'a.b.c[0]', true), ('**.c', 'a.b.c', true), ('**.c', 'c', true), ('a[*].x', 'a[3].x', true), ('a[2]', 'a[3]', false), ('*', 'x.y', true), ('*.text', 'a.b.text', false)) as t(selector, path, matches)""")
-def p4_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p4_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = [("a.b", "a.b"), ("a.b", "a.b.c"), ("a.*", "a.b"), ("a.*", "a.b.c"), ("a.**", "a.b.c[0]"), ("**.c", "a.b.c"), ("**.c", "c"), ("a[*].x", "a[3].x"), ("a[2]", "a[3]"), ("*", "x.y"), ("*.text", "a.b.text")]
     d = spark.createDataFrame(cases, "selector string, path string")
     forms = F.create_map(*(F.lit(x) for s in {s for s, _ in cases} for x in (s, U.selector(s))))
@@ -83,7 +83,7 @@ def u4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"select path, case when key in ({', '.join(map(quoted, S.STRUCTURAL))}) then 'skip' when key in ('text', 'thinking', 'summary', 'message') then 'prose' else 'other' end as leaf_kind, count(*) as n from {_TREE} where type = 'VARCHAR' group by 1, 2")
-def p7_leaf_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p7_leaf_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _leaves(spark, sf_dir).filter("kind = 'string'")
     return f.select("path", S.leaf_kind(F.col("key"), F.col("parent_type"), F.col("parent_has_mime"), F.lit("user")).alias("leaf_kind")).groupBy("path", "leaf_kind").agg(F.count("*").alias("n"))
 
@@ -93,7 +93,7 @@ _LINES = "(select row_id, unnest(string_split(_text, chr(10))) as line, role fro
 
 @query(f"""select row_id, count(*) as n from {_LINES} where strlen(line) <= 2000 and (regexp_matches(line, '(?:^|[^\\p{{L}}\\p{{N}}_])\\p{{Lu}}[\\p{{Ll}}\\p{{M}}]+[ \\t]+\\p{{Lu}}[\\p{{Ll}}\\p{{M}}]+|(?:^|[^\\p{{L}}\\p{{N}}_])[0-9]{{4,5}}[ \\t]+\\p{{Lu}}[\\p{{Ll}}\\p{{M}}]+|(?:^|[^\\p{{L}}\\p{{N}}_])\\p{{Lu}}\\.[ \\t]*\\p{{Lu}}[\\p{{Ll}}\\p{{M}}]+|(?i:(?:^|[^\\p{{L}}\\p{{N}}_])(?:user(?:name)?|login|handle|account|author|owner|contact)\\s*[:=])')
 or (coalesce(role <> 'toolResult', true) and regexp_matches(line, '[\\p{{Ll}}\\p{{N}},;:)][ \\t]+\\p{{Lu}}[\\p{{Ll}}\\p{{M}}]+'))) group by 1""")
-def p8_candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p8_candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "label_sessions").select("row_id", F.explode(F.split("_text", "\n")).alias("line"), F.coalesce(F.col("role") != "toolResult", F.lit(True)).alias("prose"))
     return d.filter(S.candidate_line(F.col("line"), F.col("prose"))).groupBy("row_id").agg(F.count("*").alias("n"))
 
@@ -108,7 +108,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select pattern_name, count(*) as n from (select *, length(regexp_replace(matched_text, '[^0-9]', '', 'g')) as d from {_F}) where case when pattern_name = 'date' then false
 when pattern_name = 'email' then not regexp_matches(lower(split_part(matched_text, '@', -1)), '(^|\\.)(example|test|invalid|localhost|example\\.com|example\\.org|example\\.net)$') when pattern_name like 'phone%' then d >= 7 and regexp_matches(matched_text, '[+ \\-.()]') when pattern_name like 'ssn%' then d = 9 else true end group by 1""")
-def p9_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p9_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).filter(S.plausible(F.col("pattern_name"), F.col("matched_text"))).groupBy("pattern_name").agg(F.count("*").alias("n"))
 
 
@@ -122,19 +122,19 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"select v, length(regexp_extract(v, '^{_EDGE}*')) as skipped, regexp_replace(v, '^{_EDGE}+|{_EDGE}+$', '', 'g') as trimmed from {_AV}")
-def p15_trimmed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p15_trimmed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead, value = S.trimmed(F.col("v"))
     return _values(spark, sf_dir).select("v", lead.alias("skipped"), value.alias("trimmed"))
 
 
 @query("select cwd, regexp_extract(regexp_extract(cwd, '^/home/[^/]+'), '[^/]+$') as account from trace_sessions where cwd is not null")
-def p16_home_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p16_home_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "trace_sessions").filter("cwd is not null")
     return s.select("cwd", S.account_of(F.regexp_extract("cwd", "^/home/[^/]+", 0)).alias("account"))
 
 
 @query(f"select pattern_name, matched_text, pattern_name not in ({', '.join(map(quoted, S.NO_SPREAD))}) and length(matched_text) >= 4 and (regexp_matches(matched_text, '\\p{{L}}') or length(matched_text) >= 7) as spreads from (select distinct pattern_name, matched_text from {_F})")
-def p18_spreading_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p18_spreading_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("pattern_name", "matched_text").distinct().withColumn("spreads", S.spreads(F.col("pattern_name"), F.col("matched_text")))
 
 
@@ -169,7 +169,7 @@ def j3_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"select row_id, least(12, {' + '.join(f'case when regexp_matches(_text, {quoted(p)}) then {w} else 0 end' for p, w in S.SIGNALS)}) as score from label_sessions where _text is not null and regexp_matches(_text, '^[\\x00-\\x7f]*$')")
-def p21_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filter_p21_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_table(spark, sf_dir, "label_sessions").filter("_text is not null").filter(F.col("_text").rlike(r"^[\x00-\x7f]*$"))
     return t.select("row_id", S.interest(F.col("_text")).alias("score"))
 

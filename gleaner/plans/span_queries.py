@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.operators import spans as S
 from gleaner.operators.extract import findings
-from gleaner.session import read_table
+from gleaner.session import read_table, spread
 
 from .detect import extraction_sql
 
@@ -63,7 +63,7 @@ def w2_islands_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with f as ({extraction_sql('training_examples', ['email', 'phone_intl'])})
 select example_id, start_cp, end_cp, label from {ANN} a where not exists (select 1 from f where f.example_id = a.example_id and a.start_cp < f.end_cp and a.end_cp > f.start_cp)""")
 def j1_ner_beside_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(read_table(spark, sf_dir, "training_examples"), ["example_id"], "text", ["email", "phone_intl"])
+    f = findings(spread(read_table(spark, sf_dir, "training_examples"), "example_id"), ["example_id"], "text", ["email", "phone_intl"])
     return S.without_overlap(annotated(spark, sf_dir), f, ["example_id"]).select("example_id", "start_cp", "end_cp", "label")
 
 
@@ -126,7 +126,7 @@ u as (select record_id, min(start_cp) as s, max(end_cp) as e from i group by rec
 c as (select g.record_id, g.label, g.start_cp, g.end_cp, coalesce(sum(greatest(0, least(g.end_cp, u.e) - greatest(g.start_cp, u.s))), 0)::bigint as covered from (select distinct * from {_GOLD}) g left join u using (record_id) group by 1, 2, 3, 4)
 select record_id, label, start_cp, end_cp, covered, end_cp - start_cp as length, case when covered >= end_cp - start_cp then 'full' when covered > 0 then 'partial' else 'missed' end as verdict from c""")
 def a9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(read_table(spark, sf_dir, "gold_ner"), ["record_id"], "text", _COVER)
+    f = findings(spread(read_table(spark, sf_dir, "gold_ner"), "record_id"), ["record_id"], "text", _COVER)
     return S.coverage(gold(spark, sf_dir).distinct(), f, ["record_id"], ["label"])
 
 
@@ -145,6 +145,6 @@ def f18_byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with p as (select label, start_cp, end_cp, record_id from {_GOLD}), f as ({extraction_sql('gold_ner', ['email'])})
 select count(*) as gold, count(f.record_id) as hit, count(*) - count(f.record_id) as missed from p left join (select distinct record_id, start_cp, end_cp from f) f using (record_id, start_cp, end_cp) where label = 'EMAIL'""")
 def j19_exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(read_table(spark, sf_dir, "gold_ner"), ["record_id"], "text", ["email"]).select("record_id", "start_cp", "end_cp").distinct().withColumn("hit", F.lit(1))
+    f = findings(spread(read_table(spark, sf_dir, "gold_ner"), "record_id"), ["record_id"], "text", ["email"]).select("record_id", "start_cp", "end_cp").distinct().withColumn("hit", F.lit(1))
     g = gold(spark, sf_dir).filter("label = 'EMAIL'").join(f, ["record_id", "start_cp", "end_cp"], "left")
     return g.agg(F.count("*").alias("gold"), F.count("hit").alias("hit"), (F.count("*") - F.count("hit")).alias("missed"))

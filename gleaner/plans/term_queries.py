@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.operators import terms as V
-from gleaner.session import read_table
+from gleaner.session import read_table, spread
 
 from .detect import quoted
 
@@ -34,7 +34,7 @@ _COUNTS = f"(select term, count(*) as occurrences, count(distinct text) as disti
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "gold_ner")
+    return spread(read_table(spark, sf_dir, "gold_ner"), "record_id")
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:

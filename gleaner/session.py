@@ -12,6 +12,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that costs much more than a row's move.
+
+    Only an input of fewer partitions (one small or unsplittable file) is dealt anew, by hash of ``key``;
+    a large table, read in many splits, is left as it is and not shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset.
 
