@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.session import read_table
+from gleaner.session import read_table, spread
 
 
 def _budget(spark: SparkSession, sf_dir: str, name: str):
@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunking import piece_spans
 
     b = _budget(spark, sf_dir, "label_chunk")
-    rows = piece_spans(read_table(spark, sf_dir, "label_sessions").select("row_id", "_text"), "_text", b.capacity, b.overlap_len)
+    rows = piece_spans(spread(read_table(spark, sf_dir, "label_sessions").select("row_id", "_text"), "row_id"), "_text", b.capacity, b.overlap_len)
     kinds = F.array(F.lit("oversized"), F.when(F.col("no_boundary"), F.lit("no_boundary")))
     return rows.filter(F.size("spans") > 1).select("row_id", F.explode(F.array_compact(kinds)).alias("kind"))
 
@@ -43,7 +43,7 @@ def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, language_segments
 
     examples = read_table(spark, sf_dir, "training_examples").select("example_id", "text", "language")
-    return language_segments(examples, *fit(examples))
+    return language_segments(spread(examples, "example_id"), *fit(examples))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal, fit, texts_of
 
-    texts = texts_of(read_table(spark, sf_dir, "training_examples"), read_table(spark, sf_dir, "challenge"))
+    texts = spread(texts_of(read_table(spark, sf_dir, "training_examples"), read_table(spark, sf_dir, "challenge")), "row_key")
     return find_personal(texts, fit(texts))
 
 
@@ -114,7 +114,7 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .tokens import n_tokens
 
-    return cut_lineage(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", n_tokens("text").alias("n_tokens")))
+    return cut_lineage(spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id").select("doc_id", "source", "lang", n_tokens("text").alias("n_tokens")))
 
 
 def _packed(spark: SparkSession, sf_dir: str, budget: str) -> DataFrame:
@@ -158,7 +158,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .subjects import document_subjects
 
-    return document_subjects(*(read_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subject_areas")))
+    documents = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return document_subjects(documents, read_table(spark, sf_dir, "doc_labels"), read_table(spark, sf_dir, "subject_areas"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
