@@ -33,7 +33,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder; survives lost executors."""
+def cut_lineage(df: DataFrame, fresh: bool = False) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder; survives lost executors.
+
+    A checkpointed plan keeps its size estimate, which a join multiplies; in loops it grows to numbers that
+    alone take minutes.  ``fresh`` drops it, and all else but rows and schema, for loops over joins.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if not fresh:
+        return done
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
