@@ -31,14 +31,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over ``edges(u, v)`` with u > v."""
     around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     low = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    low = cut_lineage(low)
+    low = cut_lineage(low, fresh=True)
     total = low.agg(F.sum("n")).first()[0] or 0
     hot = hot_keys(low, "u", "n", total)
     side = around.filter("v > u") if large else around
     linked = salted_join(side, low.select("u", "m"), "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         linked = linked.union(low.select("u", F.col("m").alias("v")))
-    return cut_lineage(linked.filter("u != v").distinct())
+    return cut_lineage(linked.filter("u != v").distinct(), fresh=True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -77,9 +77,9 @@ def _local(texts: pd.Series, annotations: pd.Series) -> pd.DataFrame:
         for k, a in enumerate(notes if notes is not None else ()):
             value = a["value"] if a is not None else None
             values.append(skeleton(value))
-            if text is None or not value or a["start_cp"] is None or a["end_cp"] is None:
+            if text is None or not value or pd.isna(a["start_cp"]) or pd.isna(a["end_cp"]):
                 continue
-            there = text[max(0, a["start_cp"]) : max(0, a["end_cp"])]
+            there = text[max(0, int(a["start_cp"])) : max(0, int(a["end_cp"]))]  # numbers beside nulls come as floats
             if there != value and skeleton(there) == values[-1]:
                 found.append(k)
         rows.append((skeleton(text), values, found))

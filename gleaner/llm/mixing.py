@@ -119,7 +119,7 @@ def _take_prefix(docs: DataFrame, group: list[str], rests: DataFrame | list) ->
     run = Window.partitionBy(*group, "_b").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     last = docs.filter(cut).withColumn("_more", (F.col("_before") + F.sum("n_tokens").over(run) <= F.col("_rest")).cast("int"))
     done = docs.filter(~cut).withColumn("_more", F.when(inside, 1).otherwise(F.col("_more")))
-    return cut_lineage(done.unionByName(last).drop("_rest", "_free", "_t", "_before"))
+    return cut_lineage(done.unionByName(last).drop("_rest", "_free", "_t", "_before"), fresh=True)
 
 
 def share_report(chosen: DataFrame, targets: DataFrame) -> DataFrame:
