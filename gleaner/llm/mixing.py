@@ -75,6 +75,8 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
     docs = sized.select("doc_id", settled_source(F.col("source")).alias("source"), F.coalesce(label_language(F.col("lang")), F.lit("other")).alias("lang"), "n_tokens")
     docs = docs.filter(F.col("source").isin(list(goal)) & (F.col("n_tokens") > 0))
     have = docs.groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens")).collect()  # at most sources x (languages + 1) rows
+    if not have:
+        return docs.withColumn("times", F.lit(0))
     root = Node(1.0)
     for r in have:
         top = root.children.setdefault(r.source, Node(goal[r.source].share))
