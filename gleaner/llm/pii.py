@@ -4,27 +4,34 @@ Weak supervision.  Labelers vote on candidate spans: the form (patterns), gazett
 and streets, the words before and after, and the weak annotations.  Expectation-maximisation over
 the counts of vote patterns of all rows estimates how reliable each labeler is, and so how likely
 each candidate is real; a span classifier is trained on those likelihoods and decides.
+
+Gazetteers and contexts are counted over all annotated rows; only the classifier is trained on a
+sample.  The commonest names and streets are broadcast, the rest are joined to the texts they occur in.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import ChainMap, Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .pii_candidates import CLASSES, PARTICLES, _TOKEN, address_patterns, candidates, fold, folded
+from gleaner.session import cut_lineage
+
+from .pii_candidates import CLASSES, PARTICLES, _TOKEN, address_patterns, candidates, fold, folded, known_streets
 
-#: Annotated rows of each table that gazetteers, contexts and the classifier are fitted on, at most; chosen by hash of their key.
+#: Annotated rows of each table that the classifier is trained on, at most; chosen by hash of their key.
 FIT_ROWS = 4_000
 #: Hashed features of the classifier, passes over the sample, its step.
 DIM, EPOCHS, RATE = 1 << 15, 12, 0.25
-#: Most names and streets kept; a name must be annotated so often, and in this share of its occurrences.
+#: Most names and streets broadcast, the rest is joined; a name must be annotated so often, and in this share of its occurrences.
 NAMES, STREETS, NAME_ROWS, NAME_SHARE = 20_000, 2_000, 2, 0.2
+#: A context must occur this often, and at least once in so many candidates, which bounds the contexts by four times that number.
+CONTEXT_ROWS, CONTEXTS = 6, 100_000
 LABELERS = ("form", "gazetteer", "before", "after", "hint")
 
 # The types of the two tables, and the class each stands for.
@@ -35,6 +42,7 @@ TYPES = {
 
 _SPLIT = re.compile(r"\w+|[^\w\s]")
 _DIGITS = re.compile(r"\d+")
+_RUN = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -47,9 +55,21 @@ class Finder:
     after: dict[tuple, int] = field(default_factory=dict)
     weights: np.ndarray | None = None
     likely: dict[tuple, float] = field(default_factory=dict)
+    #: Names and streets that are not broadcast, as (key, entry, kind); null where there are none.
+    rest: DataFrame | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_addresses"}
+        return {k: v for k, v in self.__dict__.items() if k != "_addresses"} | {"rest": None}
+
+    def joined(self, entries) -> "Finder":
+        """This finder, with the entries joined to one text."""
+        if entries is None or not len(entries):
+            return self
+        streets = sorted({e["entry"] for e in entries if e["kind"] == "S"})
+        own = Finder({}, self.streets + streets, self.before, self.after, self.weights, self.likely)
+        own.names = ChainMap({e["entry"]: e["kind"] for e in entries if e["kind"] != "S"}, self.names)
+        own.__dict__["_addresses"] = [*self.addresses[:1], *([known_streets(streets)] if streets else []), *self.addresses[1:]]
+        return own
 
     @property
     def addresses(self) -> list:
@@ -131,45 +151,102 @@ def hint_spans(text: str, f: str, at, notes: list[tuple]) -> list[tuple[int, int
     return out
 
 
-def gazetteers(rows: list[tuple[str, list]]) -> tuple[dict[str, str], list[str]]:
-    """({name word: F, L or N}, [street]) from annotated texts (folded text, hint spans with types)."""
-    seen, named, kinds, streets = Counter(), Counter(), {}, Counter()
-    for f, notes in rows:
-        for m in _TOKEN.finditer(f):
-            if f[m.end() : m.end() + 1] != "@" and f[max(0, m.start() - 1) : m.start()] not in ("@", ".", "_", "-", "+"):
-                seen[m.group().lower()] += 1
-        for kind, value, *_ in notes:
-            v = folded(value or "")
-            if TYPES.get(kind) == "person" and not any(c.isdigit() or c == "@" for c in v):
-                ws = [w for w in (m.group().lower() for m in _TOKEN.finditer(v)) if len(w) > 1 and w not in PARTICLES and w not in ("dell", "d")]
-                order = "FL" if "," not in v else "LF"
-                for i, w in enumerate(ws):
-                    named[w] += 1
-                    of = "F" if kind == "first_name" else "L" if kind == "last_name" else (order[0] if i == 0 else order[1] if i == len(ws) - 1 else "N")
-                    kinds.setdefault(w, Counter())[of] += 1
-            elif TYPES.get(kind) == "address" and any(c.isdigit() for c in v):
-                name = re.split(r",|\bn\.|№", re.sub(r"\b(?:n\.?\s?[º°o]|bis)\b", " ", re.sub(r"^\D{0,12}\d+\s*,\s*(?=\D)|^\d+\s?(?:bis|[a-z])?\b,?\s*", "", re.sub(r"^\s*(?:flat|apt\.?|\S+)\s+\d+,\s*", "", v, flags=re.I), flags=re.I), flags=re.I))[0]
-                name = " ".join(re.split(r"\d", name)[0].lower().split()).strip(" .,")
-                if len(name) > 5 and "box" not in name and "@" not in name and not name.endswith("haus"):
-                    streets[name] += 1
-    names = {}
-    for w, n in named.most_common(NAMES):
-        if n >= NAME_ROWS and n >= NAME_SHARE * seen[w] and seen[w] >= NAME_ROWS:
-            k = kinds[w]
-            names[w] = "F" if k["F"] > 4 * k["L"] else "L" if k["L"] > 4 * k["F"] else "N"
-    return names, [s for s, n in streets.most_common(STREETS) if n >= 2]
-
-
-def contexts(rows: list[tuple], side: int) -> dict[tuple, int]:
-    """Votes by the words on one side: 1 where most candidates so placed are annotated, -1 where hardly any."""
-    good, every = Counter(), Counter()
-    for row in rows:
-        words, hit = row[3 + side], row[5][4] == 1
-        for n in (1, 2):
-            key = (row[2], *(words[-n:] if side == 0 else words[:n]))
-            every[key] += 1
-            good[key] += hit
-    return {k: 1 if good[k] >= 0.45 * n else -1 if good[k] <= 0.05 * n else 0 for k, n in every.items() if n >= 6}
+def occurrences(f: str, notes: list[tuple]) -> Counter:
+    """{(word or street, kind): times} of one annotated folded text: kind O for any occurrence of a word, F, L or N for a name, S for a street."""
+    seen: Counter = Counter()
+    for m in _TOKEN.finditer(f):
+        if f[m.end() : m.end() + 1] != "@" and f[max(0, m.start() - 1) : m.start()] not in ("@", ".", "_", "-", "+"):
+            seen[m.group().lower(), "O"] += 1
+    for kind, value, *_ in notes:
+        v = folded(value or "")
+        if TYPES.get(kind) == "person" and not any(c.isdigit() or c == "@" for c in v):
+            ws = [w for w in (m.group().lower() for m in _TOKEN.finditer(v)) if len(w) > 1 and w not in PARTICLES and w not in ("dell", "d")]
+            order = "FL" if "," not in v else "LF"
+            for i, w in enumerate(ws):
+                seen[w, "F" if kind == "first_name" else "L" if kind == "last_name" else (order[0] if i == 0 else order[1] if i == len(ws) - 1 else "N")] += 1
+        elif TYPES.get(kind) == "address" and any(c.isdigit() for c in v):
+            name = re.split(r",|\bn\.|№", re.sub(r"\b(?:n\.?\s?[º°o]|bis)\b", " ", re.sub(r"^\D{0,12}\d+\s*,\s*(?=\D)|^\d+\s?(?:bis|[a-z])?\b,?\s*", "", re.sub(r"^\s*(?:flat|apt\.?|\S+)\s+\d+,\s*", "", v, flags=re.I), flags=re.I), flags=re.I))[0]
+            name = " ".join(re.split(r"\d", name)[0].lower().split()).strip(" .,")
+            if len(name) > 5 and "box" not in name and "@" not in name and not name.endswith("haus"):
+                seen[name, "S"] += 1
+    return seen
+
+
+def _street_key(street: str) -> str:
+    return max(_RUN.findall(street), key=lambda w: (len(w), w), default="")
+
+
+def _keys(text: str | None) -> list[str]:
+    """What a name or street must be keyed by to occur in the text: its words, and runs of letters in them."""
+    low = folded(text or "").lower()
+    return sorted({"", *(m.group().lower() for m in _TOKEN.finditer(folded(text or ""))), *_RUN.findall(low)})
+
+
+def gazetteers(there: DataFrame) -> DataFrame:
+    """(key, entry, kind, n) of the names (kind F, L or N) and streets (S) of all annotated rows."""
+
+    def count(batches):
+        for pdf in batches:
+            total: Counter = Counter()
+            for text, notes in zip(pdf["text"], pdf["notes"]):
+                total.update(occurrences(folded(text), [(n["kind"], n["value"]) for n in notes if n is not None]))
+            yield pd.DataFrame([(w, k, n) for (w, k), n in total.items()], columns=["entry", "of", "n"])
+
+    counted = there.select("text", "notes").mapInPandas(count, "entry string, of string, n long").groupBy("entry")
+    times = counted.agg(*(F.sum(F.when(F.col("of") == k, F.col("n")).otherwise(0)).alias(k) for k in "OFLNS"))
+    named = F.col("F") + F.col("L") + F.col("N")
+    names = times.filter((named >= NAME_ROWS) & (F.col("O") >= NAME_ROWS) & (named >= NAME_SHARE * F.col("O"))).select(
+        F.col("entry").alias("key"), "entry", F.when(F.col("F") > 4 * F.col("L"), "F").when(F.col("L") > 4 * F.col("F"), "L").otherwise("N").alias("kind"), named.alias("n"))
+    key = F.udf(lambda s: _street_key(s), "string")
+    streets = times.filter("S >= 2").select(key("entry").alias("key"), "entry", F.lit("S").alias("kind"), F.col("S").alias("n"))
+    return cut_lineage(names.unionByName(streets))
+
+
+def _commonest(entries: DataFrame, most: int) -> tuple[list, DataFrame | None]:
+    """The ``most`` commonest entries, and all others or null."""
+    rows = entries.orderBy(F.desc("n"), "entry").limit(most + 1).collect()  # bounded by NAMES and STREETS
+    if len(rows) <= most:
+        return rows, None
+    last = rows[most - 1]
+    return rows[:most], entries.filter((F.col("n") < last.n) | (F.col("n") == last.n) & (F.col("entry") > last.entry))
+
+
+def with_rest(texts: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``texts`` with ``entries``: the entries of ``rest`` that may occur in each, or null."""
+    if rest is None:
+        return texts.withColumn("entries", F.lit(None).cast("array<struct<entry:string,kind:string>>"))
+    keys = F.udf(lambda t: _keys(t), "array<string>")
+    words = texts.select(F.col("tab").alias("_tab"), F.col("row_key").alias("_row_key"), F.explode(keys("text")).alias("key"))
+    held = words.join(rest, "key").groupBy("_tab", "_row_key").agg(F.collect_set(F.struct("entry", "kind")).alias("entries"))
+    return texts.join(held, F.expr("tab <=> _tab and row_key <=> _row_key"), "left").select(*texts.columns, "entries")
+
+
+def contexts(there: DataFrame, finder: Finder) -> tuple[dict[tuple, int], dict[tuple, int]]:
+    """Votes by the words on each side, over all annotated rows: 1 where most candidates so placed are annotated, -1 where hardly any."""
+
+    def count(batches):
+        for pdf in batches:
+            every, good = Counter(), Counter()
+            for text, notes, entries in zip(pdf["text"], pdf["notes"], pdf["entries"]):
+                own = finder.joined(entries)
+                f, hints, _ = _prepared(text, notes)
+                for row in own.votes(f, candidates(f, own.names, own.addresses), hints):
+                    every[-1, ""] += 1
+                    for side in (0, 1):
+                        for n in (1, 2):
+                            words = row[3 + side][-n:] if side == 0 else row[3 + side][:n]
+                            key = side, "\x1f".join([row[2], *words])
+                            every[key] += 1
+                            good[key] += row[5][4] == 1
+            yield pd.DataFrame([(side, key, good[side, key], n) for (side, key), n in every.items()], columns=["side", "key", "good", "n"])
+
+    counted = there.select("text", "notes", "entries").mapInPandas(count, "side int, key string, good long, n long")
+    counted = cut_lineage(counted.groupBy("side", "key").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).filter((F.col("n") >= CONTEXT_ROWS) | (F.col("side") == -1)))
+    total = counted.filter("side = -1").agg(F.sum("n")).first()[0] or 0
+    out: tuple[dict, dict] = {}, {}
+    for r in counted.filter((F.col("side") >= 0) & (F.col("n") >= total / CONTEXTS)).collect():  # at most 4 x CONTEXTS rows: a candidate counts in four
+        out[r.side][tuple(r.key.split("\x1f"))] = 1 if r.good >= 0.45 * r.n else -1 if r.good <= 0.05 * r.n else 0
+    return out
 
 
 def expectation_maximisation(counts: dict[tuple, int], rounds: int = 25) -> dict[tuple, float]:
@@ -226,34 +303,42 @@ def _prepared(text: str, notes) -> tuple:
 
 
 def fit(texts: DataFrame) -> Finder:
-    """Fit on at most FIT_ROWS annotated rows of each table, and vote patterns counted over all rows."""
-    there = texts.filter("text is not null and size(notes) > 0")
-    sample = []
-    for tab in ("training_examples", "challenge"):
-        rows = there.filter(F.col("tab") == tab).orderBy(F.xxhash64(F.lit(4), "row_key"), "row_key").limit(FIT_ROWS)
-        sample += [_prepared(r.text, r.notes) for r in rows.collect()]  # bounded by FIT_ROWS
-    finder = Finder(*gazetteers([(f, hints) for f, _, hints in sample]))
-    spans = [candidates(f, finder.names, finder.addresses) for f, _, _ in sample]
-    voted = [row for (f, hints, _), own in zip(sample, spans) for row in finder.votes(f, own, hints)]
-    finder.before, finder.after = contexts(voted, 0), contexts(voted, 1)
+    """Fit gazetteers and contexts on all annotated rows, vote patterns on all rows, the classifier on at most FIT_ROWS annotated rows of each table."""
+    annotated = "text is not null and size(notes) > 0"
+    entries = gazetteers(texts.filter(annotated))
+    names, more_names = _commonest(entries.filter("kind <> 'S'"), NAMES)
+    streets, more_streets = _commonest(entries.filter("kind = 'S'"), STREETS)
+    finder = Finder({r.entry: r.kind for r in names}, [r.entry for r in streets])
+    more = [d for d in (more_names, more_streets) if d is not None]
+    finder.rest = more[0].unionByName(more[1]) if len(more) == 2 else more[0] if more else None
+    texts = with_rest(texts, finder.rest)
+    if more:
+        texts = cut_lineage(texts)
+    there = texts.filter(annotated)
+    finder.before, finder.after = contexts(there, finder)
 
     def patterns(batches):
         total: Counter = Counter()
         for pdf in batches:
-            for text, notes in zip(pdf["text"], pdf["notes"]):
+            for text, notes, entries in zip(pdf["text"], pdf["notes"], pdf["entries"]):
                 if text:
+                    own = finder.joined(entries)
                     f, hints, _ = _prepared(text, notes if notes is not None else ())
-                    for row in finder.votes(f, candidates(f, finder.names, finder.addresses), hints if notes is not None and len(notes) else None):
+                    for row in own.votes(f, candidates(f, own.names, own.addresses), hints if notes is not None and len(notes) else None):
                         total[row[2], row[5]] += 1
         yield pd.DataFrame([(c, [int(x) for x in v], n) for (c, v), n in total.items()], columns=["cls", "votes", "n"])
 
-    found = texts.select("text", "notes").mapInPandas(patterns, "cls string, votes array<int>, n long").groupBy("cls", "votes").agg(F.sum("n").alias("n"))
+    found = texts.select("text", "notes", "entries").mapInPandas(patterns, "cls string, votes array<int>, n long").groupBy("cls", "votes").agg(F.sum("n").alias("n"))
     finder.likely = expectation_maximisation({(r.cls, tuple(r.votes)): r.n for r in found.collect()})  # at most classes x 3^labelers rows
     feats, target = [], []
-    for (f, hints, _), own in zip(sample, spans):
-        for row in finder.votes(f, own, hints):
-            feats.append(finder.features(row, f))
-            target.append(finder.likely.get((row[2], row[5]), 0.5))
+    for tab in ("training_examples", "challenge"):
+        rows = there.filter(F.col("tab") == tab).orderBy(F.xxhash64(F.lit(4), "row_key"), "row_key").limit(FIT_ROWS)
+        for r in rows.collect():  # bounded by FIT_ROWS
+            own = finder.joined(r.entries)
+            f, hints, _ = _prepared(r.text, r.notes)
+            for row in own.votes(f, candidates(f, own.names, own.addresses), hints):
+                feats.append(own.features(row, f))
+                target.append(finder.likely.get((row[2], row[5]), 0.5))
     finder.weights = train_classifier(feats, np.array(target, np.float32))
     return finder
 
@@ -276,11 +361,10 @@ def find_personal(texts: DataFrame, finder: Finder) -> DataFrame:
     Null texts give no spans and a null ``masked``; empty texts come out as they are.  Whole texts
     are read.  Repeated rows give equal results.
     """
-    bc = texts.sparkSession.sparkContext.broadcast(finder)  # bounded by NAMES, STREETS, FIT_ROWS and DIM
+    bc = texts.sparkSession.sparkContext.broadcast(finder)  # bounded by NAMES, STREETS, CONTEXTS and DIM
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        own = bc.value
-        rows = [own.find(t) if t else [] for t in s]
+    def run(s: pd.Series, entries: pd.Series) -> pd.DataFrame:
+        rows = [bc.value.joined(e).find(t) if t else [] for t, e in zip(s, entries)]
         return pd.DataFrame({"spans": [[{"start_cp": a, "end_cp": b, "pii_class": c} for a, b, c in r] for r in rows], "masked": [redact(t, r) if t is not None else None for t, r in zip(s, rows)]})
 
-    return texts.select("tab", "row_key", F.pandas_udf(run, _FOUND)("text").alias("_f")).select("tab", "row_key", "_f.*")
+    return with_rest(texts, finder.rest).select("tab", "row_key", F.pandas_udf(run, _FOUND)("text", "entries").alias("_f")).select("tab", "row_key", "_f.*")

@@ -85,14 +85,18 @@ _NO = _NO.replace("дом", folded("дом")).replace("д", folded("д"))
 _HEAD = rf"(?:(?:{_UNIT})\s*\d{{1,4}},\s*)?(?:\d{{1,4}}(?:\s?bis|\s?[a-z])?,?\s+)?"
 
 
+def known_streets(streets: list[str]) -> tuple[int, re.Pattern]:
+    known = "|".join(re.escape(s).replace(r"\ ", r"\s+") for s in sorted(streets, key=len, reverse=True))
+    return 2, re.compile(rf"(?<![\w/]){_HEAD}(?:{known})(?!\w)(?:{_NO}\s*,?\s*{_TAIL})?(?!\w)", re.I)
+
+
 def address_patterns(streets: list[str]) -> list[tuple[int, re.Pattern]]:
     """Patterns for boxes, streets known by name, and streets known by their kind."""
     kinds = rf"(?:{_W}\s+){{1,3}}(?:{_EN_END})\b|(?:{_FIRST})\s*(?:{_SMALL}\s*)*{_W}(?:[\s'](?:{_SMALL}[\s'])*{_W}){{0,2}}|(?:{_W}\s+){{1,3}}(?:{_LAST})"
     ends = rf"(?:{_FIRST})\s*(?:{_SMALL}\s*)*{_W}(?:[\s'](?:{_SMALL}[\s'])*{_W}){{0,2}}?|{_W}\s+(?:{_LAST})|(?:(?:am|oude|nieuwe|{_W}er)\s+)?(?:{LETTER}+(?:{_JOINED})|(?:{_W}er\s+)(?:{_JOINED}))"
     out = [(2, re.compile(rf"(?<![\w.]){_BOX}\s*\d{{2,6}}(?!\w)", re.I))]
     if streets:
-        known = "|".join(re.escape(s).replace(r"\ ", r"\s+") for s in sorted(streets, key=len, reverse=True))
-        out.append((2, re.compile(rf"(?<![\w/]){_HEAD}(?:{known})(?!\w)(?:{_NO}\s*,?\s*{_TAIL})?(?!\w)", re.I)))
+        out.append(known_streets(streets))
     out.append((1, re.compile(rf"(?<![\w.\-/#])\d{{1,4}}(?:\s?bis|[a-z])?,?\s+(?:{kinds})(?!\w)", re.I)))
     out.append((1, re.compile(rf"(?<![\w\-/])(?:{ends}){_NO}\s*,?\s*{_TAIL}(?![\w.\-]*@)(?!\w)", re.I)))
     return out

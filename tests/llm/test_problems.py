@@ -163,6 +163,40 @@ def test_masking_keeps_the_rest():
     assert pii.redact("", []) == ""
 
 
+def _annotated(spark):
+    first, last = ["Orvel", "Tamsin", "Quillon", "Brisa", "Yorick"], ["Dunmore", "Ashgrove", "Pelham", "Vantongeren", "Kestrel"]
+    rows = []
+    for i in range(120):
+        name = f"{first[i % 5]} {last[i // 5 % 5]}"
+        rows.append(("training_examples", str(i), f"Dear {name}, your order {i} has been sent.", [("person", name, 5)]))
+    for i in range(3):
+        rows.append(("training_examples", f"r{i}", "Dear Zephyrine Oakhollow, your order has been sent.", [("person", "Zephyrine Oakhollow", 5)]))
+        rows.append(("challenge", f"s{i}", f"ship to 1{i} Nethercot Hollow, please", [("street_address", f"1{i} Nethercot Hollow", None)]))
+        rows.append(("challenge", f"q{i}", f"ship to 2{i} Overcot Meadowside, please", [("street_address", f"2{i} Overcot Meadowside", None)]))
+    return spark.createDataFrame(rows, "tab string, row_key string, text string, notes array<struct<kind:string,value:string,start:int>>")
+
+
+def test_gazetteers_cover_all_annotated_rows_whatever_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(pii, "FIT_ROWS", 20)
+    texts = _annotated(spark)
+    finder = pii.fit(texts)
+    assert {"zephyrine", "oakhollow", "orvel", "kestrel"} <= set(finder.names) and {"nethercot hollow", "overcot meadowside"} <= set(finder.streets)
+    # 126 first candidates after "dear": all annotated rows count, not 20
+    assert finder.before["person", "dear"] == 1
+    found = {r.row_key: [r.text[s.start_cp : s.end_cp] for s in r.spans] for r in pii.find_personal(texts, finder).join(texts.select("row_key", "text"), "row_key").collect()}
+    assert all(found[f"r{i}"] == ["Zephyrine Oakhollow"] for i in range(3)) and all(len(found[str(i)]) == 1 for i in range(120))
+
+
+def test_entries_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    texts = _annotated(spark)
+    whole = {(r.tab, r.row_key): r.masked for r in pii.find_personal(texts, pii.fit(texts)).collect()}
+    monkeypatch.setattr(pii, "NAMES", 2)
+    monkeypatch.setattr(pii, "STREETS", 1)
+    finder = pii.fit(texts)
+    assert len(finder.names) == 2 and len(finder.streets) == 1 and finder.rest.count() == 11
+    assert {(r.tab, r.row_key): r.masked for r in pii.find_personal(texts, finder).collect()} == whole
+
+
 # ---------------------------------------------------------------- 6
 
 
