@@ -38,6 +38,11 @@ GROUPS = {
     "network": ["ipv4", "ipv6", "mac", "uuid"],
     "social": ["home_dir", "unix_path", "twitter_handle", "social_handle", "social_url", "geocoord"],
     "financial": ["credit_card", "credit_card_nodash"],
+    "authentication": ["api_key", "jwt", "aws_key", "vendor_secret", "secret_assignment", "url_credentials", "private_key"],
+    "iban": ["iban"],
+    "labelled_phone": ["phone_labelled"],
+    "username": ["username"],
+    "licence": ["drivers_license"],
 }
 _FRAGMENT = r"""not (((l <> '') or (r <> '')) and strlen(l || v || r) >= 20 and regexp_matches(l || v || r, '[A-Za-z]') and not regexp_matches(v, '[\s\x{a0}\x{2007}\x{202f}]')
   and not regexp_matches(lower(regexp_replace(regexp_extract(right(before, 48), '(?s)^(.*)[=:"'' ,]', 1), '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g')), '(password|passwd|secret|token|api_key|apikey|access_key|private_key|credential)$'))"""
@@ -88,14 +93,15 @@ where {RULES.get(n, 'true')}""")
     return "\nunion all\n".join(parts)
 
 
-def _extraction(table: str, group: str):
+def _extraction(table: str, group: str, sql: bool = True):
     key, text = TEXTS[table]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return findings(spread(read_table(spark, sf_dir, table), key), [key], text, GROUPS[group])
 
     QUERIES[f"s24_{group}_{table}"] = run
-    SQL[f"s24_{group}_{table}"] = extraction_sql(table, GROUPS[group])
+    if sql:
+        SQL[f"s24_{group}_{table}"] = extraction_sql(table, GROUPS[group])
 
 
 for _t in TEXTS:
@@ -103,6 +109,11 @@ for _t in TEXTS:
     _extraction(_t, "time_of_day")
 for _g, _t in [("identity", "training_examples"), ("identity", "challenge"), ("network", "label_sessions"), ("social", "label_sessions"), ("social", "challenge"), ("financial", "label_sessions")]:
     _extraction(_t, _g)
+# Every other group on every other table; checksums, masks and credential rules have no SQL.
+for _t in TEXTS:
+    for _g in GROUPS:
+        if f"s24_{_g}_{_t}" not in QUERIES:
+            _extraction(_t, _g, sql=False)
 
 
 # ------------------------------------------------------------------ every pattern on given lines

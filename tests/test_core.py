@@ -149,3 +149,18 @@ def test_numbered_stream_keeps_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.session, r.value, r.number) for r in spark.table("numbered").collect()) == [("a", "x", 1), ("a", "y", 2), ("a", "y", 2), ("b", "y", 1)]
+
+
+def test_every_pattern_runs_over_every_text_table(spark, tmp_path):
+    from gleaner.functions import patterns as P
+    from gleaner.plans import detect as D
+
+    assert {n for g in D.GROUPS.values() for n in g} == {p.name for p in P.ALL}
+    assert {f"s24_{g}_{t}" for g in D.GROUPS for t in D.TEXTS} <= set(D.QUERIES)
+    new = [n for g in ("authentication", "iban", "labelled_phone", "username", "licence") for n in D.GROUPS[g]]
+    key, text = D.TEXTS["label_sessions"]
+    spark.createDataFrame([(n, t) for n, t, _ in D.SAMPLES], f"{key} int, {text} string").write.parquet(f"{tmp_path}/label_sessions.parquet")
+    got = set()
+    for g in ("authentication", "iban", "labelled_phone", "username", "licence"):
+        got |= {(r[key], r.pattern_name, r.matched_text) for r in D.QUERIES[f"s24_{g}_label_sessions"](spark, str(tmp_path)).collect() if r.pattern_name != "api_key"}
+    assert got == {(n, k, v) for n, _, fs in D.SAMPLES for k, v in fs if k in new}
