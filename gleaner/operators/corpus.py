@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleaner.operators.literals import LIST_ROWS, contained
+
 
 def path_form(pattern: str) -> str:
     """A slash pattern, ``*`` for exactly one segment, as an anchored form."""
@@ -18,14 +22,14 @@ def denied_by(text: Column, rules: list[str]) -> Column:
 
 
 def occurrences(units: DataFrame, values: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, value) for every reviewed value a unit contains.
+    """(key, value) for every reviewed value a unit contains, inside words too.
 
-    Each unit's words are looked up first, so that values meet only units with their first word.
+    Whole texts are searched with automata of the values, each of a share of them that a worker holds.
     """
-    head = lambda c: F.lower(F.regexp_extract(c, r"[\p{L}\p{N}]+", 0))
-    v = values.select("value", head(F.col("value")).alias("_w")).distinct()
-    words = units.select(key, text, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_w"))
-    return words.join(v, "_w").filter(F.col(text).contains(F.col("value"))).select(key, "value").distinct()
+    v = values.select("value").filter("value <> ''").distinct()
+    shares = 2 * v.count() // LIST_ROWS + 1
+    parts = [contained(units, key, text, v.filter(F.pmod(F.xxhash64("value"), F.lit(shares)) == i)) for i in range(shares)]
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def whole_values(units: DataFrame, replaced: DataFrame, space: str, value: str) -> DataFrame:

@@ -69,14 +69,26 @@ def _finder(literals, longest: bool, ignore_case: bool):
     return F.pandas_udf(run, _HIT)
 
 
+def _listed(literals: DataFrame) -> list[tuple[str, bool]]:
+    rows = [(r.literal, bool(r.anywhere)) for r in literals.select("literal", "anywhere").distinct().limit(LIST_ROWS + 1).collect()]
+    if len(rows) > LIST_ROWS:
+        raise ValueError(f"more than {LIST_ROWS} literals")
+    return rows
+
+
+def contained(units: DataFrame, key: str, text: str, values: DataFrame) -> DataFrame:
+    """(key, value): the values of at most LIST_ROWS that a unit contains anywhere, in their own case."""
+    rows = _listed(values.select(F.col("value").alias("literal"), F.lit(True).alias("anywhere")))
+    find = _finder(units.sparkSession.sparkContext.broadcast(rows), False, False)
+    return units.select(key, F.explode(F.array_distinct(F.transform(find(text), lambda h: h["literal"]))).alias("value"))
+
+
 def matches(texts: DataFrame, text: str, literals: DataFrame, longest: bool = False, ignore_case: bool = True) -> DataFrame:
     """(text, start_cp, end_cp, literal): occurrences of ``literals(literal, anywhere)`` in the distinct texts.
 
     The list goes to every worker, so it is refused above LIST_ROWS literals.
     """
-    rows = [(r.literal, bool(r.anywhere)) for r in literals.select("literal", "anywhere").distinct().limit(LIST_ROWS + 1).collect()]
-    if len(rows) > LIST_ROWS:
-        raise ValueError(f"more than {LIST_ROWS} literals")
+    rows = _listed(literals)
     distinct = texts.select(text).filter(F.col(text).isNotNull()).distinct()
     find = _finder(texts.sparkSession.sparkContext.broadcast(rows), longest, ignore_case)
     return distinct.select(text, F.explode(find(text)).alias("h")).select(text, "h.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.operators import corpus as C, scoring as Q, sessions as S, units as U
 from gleaner.operators.extract import findings
-from gleaner.session import read_table
+from gleaner.session import read_table, spread
 
 from .detect import extraction_sql, quoted
 from .session_queries import _RECORDS, _TREE, _leaves
@@ -46,7 +46,7 @@ _VAL = "(select distinct a.value as value from (select unnest(annotations) as a
 def j6_reviewed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a"))
     v = a.filter("a.entity_type in ('person', 'email') and length(a.value) >= 6").select(F.col("a.value").alias("value")).filter(F.col("value").rlike(r"^[\x21-\x7e][\x20-\x7e]*$") & F.col("value").rlike("[A-Za-z0-9]")).distinct()
-    g = read_table(spark, sf_dir, "gold_ner").select("record_id", "text").filter("text is not null")
+    g = spread(read_table(spark, sf_dir, "gold_ner").select("record_id", "text").filter("text is not null"), "record_id")
     return C.occurrences(g, v, "record_id", "text")
 
 

@@ -164,3 +164,14 @@ def test_every_pattern_runs_over_every_text_table(spark, tmp_path):
     for g in ("authentication", "iban", "labelled_phone", "username", "licence"):
         got |= {(r[key], r.pattern_name, r.matched_text) for r in D.QUERIES[f"s24_{g}_label_sessions"](spark, str(tmp_path)).collect() if r.pattern_name != "api_key"}
     assert got == {(n, k, v) for n, _, fs in D.SAMPLES for k, v in fs if k in new}
+
+
+def test_contained_values_may_start_and_end_inside_words(spark, monkeypatch):
+    from gleaner.operators import corpus
+
+    units = spark.createDataFrame([(1, "Dear Pavlinka Marisella"), (2, "pavlin"), (3, "x-Ann Lee, Ann Lee"), (4, None), (5, "")], "k int, t string")
+    values = spark.createDataFrame([(v,) for v in ("Pavlin", "linka Mar", "Ann Lee", "sella", "absent", "", None)], "value string")
+    want = {(1, "Pavlin"), (1, "linka Mar"), (1, "sella"), (3, "Ann Lee")}
+    assert sorted(map(tuple, corpus.occurrences(units, values, "k", "t").collect())) == sorted(want)
+    monkeypatch.setattr(corpus, "LIST_ROWS", 2)
+    assert sorted(map(tuple, corpus.occurrences(units, values, "k", "t").collect())) == sorted(want)
