@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def line_form(line: Column) -> Column:
-    """empty, heading, key_value or prose."""
+    """empty, heading, key_value or prose; letters and blanks of any script count."""
     return (
-        F.when(F.trim(line) == "", "empty")
-        .when(line.rlike(r"^\s*(#+\s|=+\s*$|-+\s*$)"), "heading")
-        .when(line.rlike(r"^\s*[\w.-]+\s*[:=]\s*\S"), "key_value")
+        F.when(line.rlike(r"(?U)^[\s&&[^\f\x0b]]*$"), "empty")
+        .when(line.rlike(r"(?U)^\s*(#+\s|=+\s*$|-+\s*$)"), "heading")
+        .when(line.rlike(r"(?U)^\s*[\w.-]+\s*[:=]\s*\S"), "key_value")
         .otherwise("prose")
     )
 

@@ -21,6 +21,11 @@ def _edge(text: str, i: int, j: int) -> bool:
     return left and (not text[j - 1].isalnum() or not (after.isalnum() or after == "_"))
 
 
+def _low(text: str) -> str:
+    """Small letters, character by character, so that offsets stay."""
+    return text.lower() if text.isascii() else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 class Matcher:
     """An Aho-Corasick automaton over literals; one a Python worker."""
 
@@ -31,7 +36,7 @@ class Matcher:
         self.a = ahocorasick.Automaton()
         for w, anywhere in literals:
             if w:
-                self.a.add_word(w.lower() if ignore_case else w, (w, anywhere))
+                self.a.add_word(_low(w) if ignore_case else w, (w, anywhere))
         self.empty = not len(self.a)
         if not self.empty:
             self.a.make_automaton()
@@ -40,9 +45,7 @@ class Matcher:
         """All occurrences, overlapping ones too; literals marked ``anywhere`` need no edges."""
         if self.empty or not text:
             return []
-        low = text.lower() if self.fold else text
-        if len(low) != len(text):  # a few letters change length in lower case; those texts are read as they are
-            low = text
+        low = _low(text) if self.fold else text
         out = []
         for end, (w, anywhere) in self.a.iter(low):
             i, j = end + 1 - len(w), end + 1

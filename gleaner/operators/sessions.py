@@ -116,4 +116,4 @@ SIGNALS = [("@[a-z0-9.-]+\\.[a-z]{2,}", 3), ("\\+?[0-9][0-9 ()./-]{8,}[0-9]", 2)
 
 def interest(text: Column) -> Column:
     """The weights of the signals a text shows, 12 at most."""
-    return F.least(F.lit(12), reduce(lambda a, b: a + b, (F.when(text.rlike(p), w).otherwise(0) for p, w in SIGNALS)))
+    return F.least(F.lit(12), reduce(lambda a, b: a + b, (F.when(text.rlike(f"(?U){p}"), w).otherwise(0) for p, w in SIGNALS)))

@@ -50,6 +50,14 @@ def j6_reviewed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.occurrences(g, v, "record_id", "text")
 
 
+@query()
+def j6_reviewed_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a"))
+    v = a.filter("a.entity_type in ('person', 'email') and length(a.value) >= 6").select(F.col("a.value").alias("value")).filter(F.col("value").rlike(r"[\p{L}\p{N}]")).distinct()
+    g = spread(read_table(spark, sf_dir, "gold_ner").select("record_id", "text").filter("text is not null"), "record_id")
+    return C.occurrences(g, v, "record_id", "text")
+
+
 @query(f"select doc_id, line_no, path, value from {_TREE} t where type = 'VARCHAR' and (doc_id, value) in (select (doc_id, value) from {_TREE} where key = 'role')")
 def j7_equal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _leaves(spark, sf_dir).filter("kind = 'string'")
@@ -213,6 +221,12 @@ def x10_word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("row_id", F.explode(F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"), F.lit(0))).alias("token"))
 
 
+@query()
+def x10_word_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = read_table(spark, sf_dir, "label_sessions").filter("_text is not null")
+    return l.select("row_id", F.explode(F.regexp_extract_all("_text", F.lit(r"(?U)\w+(?:[-_]\w+)*|\S"), F.lit(0))).alias("token"))
+
+
 @query("select entity_type as label, case entity_type when 'first_name' then 'person' when 'last_name' then 'person' when 'phone_us' then 'phone' when 'phone_intl' then 'phone' else entity_type end as coarse, count(*) as n from (select a.entity_type from (select unnest(annotations) as a from training_examples)) group by 1, 2")
 def filter_p22_coarse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a")).select(F.col("a.entity_type").alias("label"))

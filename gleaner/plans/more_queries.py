@@ -27,9 +27,11 @@ def query(sql: str | None = None):
 _LITS = "(select distinct lower(a.value) as literal from (select unnest(annotations) as a from training_examples) where a.entity_type in ('email', 'person') and length(a.value) >= 5 and regexp_matches(a.value, '^[\\x21-\\x7e][\\x20-\\x7e]*$'))"
 
 
-def _literals(spark: SparkSession, sf_dir: str, anywhere: bool) -> DataFrame:
+def _literals(spark: SparkSession, sf_dir: str, anywhere: bool, whole: bool = False) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a")).filter("a.entity_type in ('email', 'person') and length(a.value) >= 5")
-    return a.select(F.lower("a.value").alias("literal")).filter(F.col("literal").rlike(r"^[\x21-\x7e][\x20-\x7e]*$")).distinct().withColumn("anywhere", F.lit(anywhere))
+    low = F.lower("a.value")
+    v = a.select(F.when(F.length(low) == F.length("a.value"), low).otherwise(F.col("a.value")).alias("literal")).distinct().withColumn("anywhere", F.lit(anywhere))
+    return v if whole else v.filter(F.col("literal").rlike(r"^[\x21-\x7e][\x20-\x7e]*$"))
 
 
 @query(f"select text, literal, count(*) as n from (select text, literal, unnest(list_filter(range(1, length(text) - length(literal) + 2), lambda i: substr(lower(text), i, length(literal)) = literal)) from (select distinct text from challenge where text is not null and length(lower(text)) = length(text)) join {_LITS} on contains(lower(text), literal)) group by 1, 2")
@@ -43,13 +45,30 @@ def x2_longest_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.matches(read_table(spark, sf_dir, "challenge"), "text", _literals(spark, sf_dir, False), longest=True)
 
 
+@query()
+def x1_all_literals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "challenge")
+    return L.matches(c, "text", _literals(spark, sf_dir, True, whole=True)).groupBy("text", "literal").agg(F.count("*").alias("n"))
+
+
+@query()
+def x2_longest_literals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.matches(read_table(spark, sf_dir, "challenge"), "text", _literals(spark, sf_dir, False, whole=True), longest=True)
+
+
 @query("select row_id, line_no, case when trim(line, ' ' || chr(9) || chr(13)) = '' then 'empty' when regexp_matches(line, '^\\s*(#+\\s|=+\\s*$|-+\\s*$)') then 'heading' when regexp_matches(line, '^\\s*[A-Za-z0-9_.-]+\\s*[:=]\\s*\\S') then 'key_value' else 'prose' end as form from (select row_id, i as line_no, l[i] as line from (select row_id, l, unnest(range(1, len(l) + 1)) as i from (select row_id, string_split(replace(_text, chr(13), ''), chr(10)) as l from label_sessions where _text is not null and not regexp_matches(_text, '[^\\x00-\\x7f]'))))")
 def f22_line_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("row_id", "line_no", B.line_form(F.col("line")).alias("form"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read_table(spark, sf_dir, "label_sessions").filter("_text is not null").filter(~F.col("_text").rlike(r"[^\x00-\x7f]"))
+@query()
+def f22_line_forms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, whole=True).select("row_id", "line_no", B.line_form(F.col("line")).alias("form"))
+
+
+def _lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    t = read_table(spark, sf_dir, "label_sessions").filter("_text is not null")
+    t = t if whole else t.filter(~F.col("_text").rlike(r"[^\x00-\x7f]"))
     return t.select("row_id", F.posexplode(F.split(F.regexp_replace("_text", "\r", ""), "\n")).alias("_i", "line")).withColumn("line_no", F.col("_i") + 1)
 
 
@@ -63,6 +82,11 @@ def w7_sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.sentence_units(_lines(spark, sf_dir), "row_id", "line_no", "line")
 
 
+@query()
+def w7_sentence_units_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.sentence_units(_lines(spark, sf_dir, whole=True), "row_id", "line_no", "line")
+
+
 @query("select session, row_id, tier from (select *, row_number() over (partition by session order by tier, sha256('t' || row_id)) as r from (select session, row_id, case when n_spans >= 3 then 0 when nym_prediction = 'sensitive' then 1 else 2 end as tier from label_sessions)) where r <= 4")
 def w9_tiered_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read_table(spark, sf_dir, "label_sessions")

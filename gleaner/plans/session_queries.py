@@ -116,9 +116,10 @@ _EDGE = "[\\s;,:!?.\"''`|()\\[\\]{}<>=]"
 _AV = "(select distinct a.value as v from (select unnest(annotations) as a from training_examples) where a.value is not null and regexp_matches(a.value, '^[\\x00-\\x7f]*$'))"
 
 
-def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _values(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     t = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a"))
-    return t.select(F.col("a.value").alias("v")).filter("v is not null").filter(F.col("v").rlike(r"^[\x00-\x7f]*$")).distinct()
+    v = t.select(F.col("a.value").alias("v")).filter("v is not null").distinct()
+    return v if whole else v.filter(F.col("v").rlike(r"^[\x00-\x7f]*$"))
 
 
 @query(f"select v, length(regexp_extract(v, '^{_EDGE}*')) as skipped, regexp_replace(v, '^{_EDGE}+|{_EDGE}+$', '', 'g') as trimmed from {_AV}")
@@ -127,6 +128,12 @@ def filter_p15_trimmed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir).select("v", lead.alias("skipped"), value.alias("trimmed"))
 
 
+@query()
+def filter_p15_trimmed_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead, value = S.trimmed(F.col("v"))
+    return _values(spark, sf_dir, whole=True).select("v", lead.alias("skipped"), value.alias("trimmed"))
+
+
 @query("select cwd, regexp_extract(regexp_extract(cwd, '^/home/[^/]+'), '[^/]+$') as account from trace_sessions where cwd is not null")
 def filter_p16_home_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "trace_sessions").filter("cwd is not null")
@@ -174,6 +181,11 @@ def filter_p21_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("row_id", S.interest(F.col("_text")).alias("score"))
 
 
+@query()
+def filter_p21_interest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "label_sessions").filter("_text is not null").select("row_id", S.interest(F.col("_text")).alias("score"))
+
+
 @query("select line, count(*) as n from (select lower(split_part(regexp_extract(trim(line), '^[^\\s]+'), '/', 1)) as line, line as raw from (select unnest(string_split(_text, chr(10))) as line from label_sessions)) where raw not like '#%' and length(line) >= 2 and not regexp_matches(raw, '[^\\x00-\\x7f]') group by 1")
 def s12_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.sources.lists import words
@@ -182,6 +194,14 @@ def s12_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(lines).groupBy(F.col("word").alias("line")).agg(F.count("*").alias("n"))
 
 
+@query()
+def s12_word_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.sources.lists import words
+
+    lines = read_table(spark, sf_dir, "label_sessions").select(F.explode(F.split("_text", "\n")).alias("value"))
+    return words(lines).groupBy(F.col("word").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query("select distinct trim(source) as term from documents where source is not null and trim(source) <> '' and not starts_with(trim(source), '#')")
 def s13_term_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.sources.lists import terms

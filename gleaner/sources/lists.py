@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def words(lines: DataFrame) -> DataFrame:
     """(word) of lines ``value``: first token, flags after ``/`` dropped, comments skipped, two characters at least, small letters."""
     t = F.trim("value")
-    token = F.lower(F.substring_index(F.regexp_extract(t, r"^[^\s]+", 0), "/", 1))
+    token = F.lower(F.substring_index(F.regexp_extract(t, r"(?U)^[\s&&[^\x00-\x7f]]*([^\s]+)", 1), "/", 1))
     return lines.filter(~F.col("value").startswith("#") & (t != "")).select(token.alias("word")).filter(F.length("word") >= 2)
 
 

@@ -175,3 +175,28 @@ def test_contained_values_may_start_and_end_inside_words(spark, monkeypatch):
     assert sorted(map(tuple, corpus.occurrences(units, values, "k", "t").collect())) == sorted(want)
     monkeypatch.setattr(corpus, "LIST_ROWS", 2)
     assert sorted(map(tuple, corpus.occurrences(units, values, "k", "t").collect())) == sorted(want)
+
+
+def test_whole_queries_keep_texts_beyond_ascii(spark, tmp_path):
+    from gleaner import catalog
+
+    at, q = str(tmp_path), catalog.queries()
+    texts = ["Имя: Анна\n\u00a0\nЭто первая\nстрока.", "# Größe\nCafé-Bar émile@mail.example", "हिन्दी शब्द", "plain words", None]
+    spark.createDataFrame(list(enumerate(texts)), "row_id int, _text string").write.parquet(f"{at}/label_sessions.parquet")
+    notes = [[("person", "Zoë Müller"), ("person", "Анна Кедрова"), ("person", "İpek Ada"), ("person", " «José» "), ("email", "a@b.example")]]
+    spark.createDataFrame([(1, notes[0])], "example_id int, annotations array<struct<entity_type:string,value:string>>").write.parquet(f"{at}/training_examples.parquet")
+    spark.createDataFrame([(1, "ask ZOË MÜLLER or İpek Ada"), (2, "анна кедрова, a@b.example")], "id int, text string").write.parquet(f"{at}/challenge.parquet")
+    spark.createDataFrame([(1, "Dr Zoë Müllers"), (2, "Анна Кедрова"), (3, None)], "record_id int, text string").write.parquet(f"{at}/gold_ner.parquet")
+    got = lambda name: sorted(tuple(r) for r in q[name](spark, at).collect())
+
+    tokens = {i: [t for k, t in got("x10_word_split_whole") if k == i] for i in range(4)}
+    assert tokens[2] == sorted(["हिन्दी", "शब्द"]) and tokens[1] == sorted(["#", "Größe", "Café-Bar", "émile", "@", "mail", ".", "example"])
+    assert got("f22_line_forms_whole") == [(0, 1, "key_value"), (0, 2, "empty"), (0, 3, "prose"), (0, 4, "prose"), (1, 1, "heading"), (1, 2, "prose"), (2, 1, "prose"), (3, 1, "prose")]
+    assert {t for _, _, t in got("w7_sentence_units_whole")} == {"Имя: Анна", "Это первая строка.", "# Größe", "Café-Bar émile@mail.example", "हिन्दी शब्द", "plain words"}
+    assert [k for k, _ in got("filter_p21_interest_whole")] == [0, 1, 2, 3] and dict(got("filter_p21_interest_whole"))[1] == 3
+    assert dict(got("s12_word_list_whole")) == {"имя:": 1, "это": 1, "строка.": 1, "café-bar": 1, "हिन्दी": 1, "plain": 1}
+    assert {v for v, _, _ in got("filter_p15_trimmed_edges_whole")} == {v for _, v in notes[0]}
+    want = {("ask ZOË MÜLLER or İpek Ada", "zoë müller"), ("ask ZOË MÜLLER or İpek Ada", "İpek ada"), ("анна кедрова, a@b.example", "анна кедрова"), ("анна кедрова, a@b.example", "a@b.example")}
+    assert {(t, w.replace("i̇", "İ").replace("İpek Ada", "İpek ada")) for t, w, _ in got("x1_all_literals_whole")} == want
+    assert {(r.text, r.literal.replace("İpek Ada", "İpek ada")) for r in q["x2_longest_literals_whole"](spark, at).collect()} == want
+    assert got("j6_reviewed_values_whole") == [(1, "Zoë Müller"), (2, "Анна Кедрова")]
