@@ -103,7 +103,7 @@ def address_patterns(streets: list[str]) -> list[tuple[int, re.Pattern]]:
 
 
 #: Without one of these no street known by its kind alone can match.
-_KIND = re.compile(rf"(?:{_JOINED}|{_LAST})(?!\w){_NO}\s*,?\s*\d|(?<!\w)(?:{_FIRST})\s", re.I)
+_KIND = re.compile(rf"(?:{_JOINED}|{_LAST}){_NO}\s*,?\s*\d|(?<!\w)(?:{_FIRST})\s*\w", re.I)
 
 
 _TOKEN = re.compile(_W)

@@ -152,6 +152,12 @@ def test_candidates_of_each_class():
     assert not any("png" in v for v, _ in got)
 
 
+@pytest.mark.parametrize("text", ["Musterstr.12", "C/Mayor, 12", "Musterstraße12", "Calle Mayor 12"])
+def test_streets_need_no_blank(text):
+    f = pc.folded(text)
+    assert (0, len(f), "address", 1) in pc.candidates(f, {}, pc.address_patterns([]))
+
+
 def test_estimation_trusts_the_reliable_labeler():
     counts = {("phone", (1, 0, 1, 1, 1)): 500, ("phone", (1, 0, 1, 1, 0)): 80, ("phone", (0, 0, -1, -1, 0)): 300, ("phone", (0, 0, -1, -1, -1)): 100}
     p = pii.expectation_maximisation(counts)
