@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Lines a sentence unit takes at most.
+MAX_LINES = 50
 
 def line_form(line: Column) -> Column:
     """empty, heading, key_value or prose; letters and blanks of any script count."""
@@ -17,13 +19,17 @@ def line_form(line: Column) -> Column:
     )
 
 
-def sentence_units(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
-    """(key, unit, text): prose lines joined up to one that ends a sentence; other lines stand alone."""
+def sentence_units(lines: DataFrame, key: str, order: str, line: str, most: int = MAX_LINES) -> DataFrame:
+    """(key, unit, text): prose lines joined up to one that ends a sentence, ``most`` at most; other lines stand alone."""
     w = Window.partitionBy(key).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     d = lines.withColumn("_f", line_form(F.col(line)))
     ends = F.col(line).rlike(r"[.!?]\s*$")
     flush = (F.lag("_f").over(w) != "prose") | (F.col("_f") != "prose") | F.lag(ends).over(w) | F.lag("_f").over(w).isNull()
-    d = d.withColumn("unit", F.sum(flush.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    d = d.withColumn("_b", F.sum(flush.cast("int")).over(upto))
+    at = Window.partitionBy(key, "_b").orderBy(order)
+    d = d.withColumn("_k", (F.row_number().over(at) - 1) % most == 0)
+    d = d.withColumn("unit", F.sum((F.col("_k") & (F.col("_f") != "empty")).cast("int")).over(upto).cast("int"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.trim(line).alias("_t")))), lambda x: x["_t"]), " ")
     return d.filter("_f != 'empty'").groupBy(key, "unit").agg(text.alias("text"))
 

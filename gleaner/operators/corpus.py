@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.operators.literals import LIST_ROWS, contained
+from gleaner.operators.literals import contained
 
 
 def path_form(pattern: str) -> str:
@@ -22,14 +20,8 @@ def denied_by(text: Column, rules: list[str]) -> Column:
 
 
 def occurrences(units: DataFrame, values: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, value) for every reviewed value a unit contains, inside words too.
-
-    Whole texts are searched with automata of the values, each of a share of them that a worker holds.
-    """
-    v = values.select("value").filter("value <> ''").distinct()
-    shares = 2 * v.count() // LIST_ROWS + 1
-    parts = [contained(units, key, text, v.filter(F.pmod(F.xxhash64("value"), F.lit(shares)) == i)) for i in range(shares)]
-    return reduce(DataFrame.union, parts).distinct()
+    """(key, value) for every reviewed value a unit contains, inside words too."""
+    return contained(units, key, text, values.select("value").filter("value <> ''").distinct()).distinct()
 
 
 def whole_values(units: DataFrame, replaced: DataFrame, space: str, value: str) -> DataFrame:

@@ -1,152 +1,75 @@
-"""Span extraction in the JVM: findings of the patterns with offsets, and the rules that drop look-alikes."""
+"""Span extraction: findings of all patterns with offsets, one pass over each text, Arrow batches in and out."""
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import patterns as P
 
-#: Characters kept before and after a finding for the rules that look at its surroundings.
-WINDOW = 256
-
-SPANS = "array<struct<pattern_name:string,start_cp:int,end_cp:int,matched_text:string,whole:string,before:string,after:string>>"
-
-# Opaque ids are made of these characters; a fragment of one is no finding of its own.
-_RUN = r"[A-Za-z0-9.+=\-]"
-
-
-def spans_of(text: Column, p: P.Pattern) -> Column:
-    """Every match of ``p``: array of (pattern_name, start_cp, end_cp, matched_text, whole, before, after), no UDF."""
-    form = F.lit(p.java)
-    found = F.regexp_extract_all(text, form, F.lit(0))
-    parts = {"m": found, "g": F.split(text, p.java, -1)}
-    for k in range(2 * p.pairs):
-        parts[f"x{k + 1}"] = F.regexp_extract_all(text, form, F.lit(k + 1))
-    chars = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, s: a + F.char_length(s))
-
-    def one(b: Column, whole: Column, i: Column) -> Column:
-        at = chars(b["g"], i + 1) + chars(b["m"], i)
-        value, skip = whole, F.lit(0)
-        for k in range(p.pairs - 1, -1, -1):
-            own = b[f"x{2 * k + 2}"][i]
-            value, skip = F.when(own != "", own).otherwise(value), F.when(own != "", F.char_length(b[f"x{2 * k + 1}"][i])).otherwise(skip)
-        start = at + skip
-        end = start + F.char_length(value)
-        return F.struct(
-            F.lit(p.name).alias("pattern_name"), start.alias("start_cp"), end.alias("end_cp"), value.alias("matched_text"), whole.alias("whole"),
-            F.substring(text, F.greatest(F.lit(1), start + 1 - WINDOW), F.least(start, F.lit(WINDOW))).alias("before"), F.substring(text, end + 1, F.lit(WINDOW)).alias("after"),
-        )
-
-    bound = F.transform(F.array(F.struct(*(c.alias(k) for k, c in parts.items()))), lambda b: F.transform(b["m"], lambda w, i: one(b, w, i)))[0]
-    there = text.rlike(p.java)
-    return F.when(text.contains(P.NEEDS[p.name]) & there if p.name in P.NEEDS else there, bound)
-
-
-def rx(c: Column, form: str) -> Column:
-    return c.rlike(form)
-
-
-def non_secret_value(v: Column) -> Column:
-    """A reference to a secret, a mask, or a value that calls itself a sample without anything random-looking in it."""
-    t = F.regexp_replace(v, "^[\"'`]+|[\"'`]+$", "")
-    low = F.lower(t)
-    refer = reduce(lambda a, b: a | b, (low.startswith(s) for s in P.REFERENCE_SCHEMES))
-    refer = refer | t.startswith("${") | t.startswith("{{") | (t.startswith("<") & t.endswith(">")) | ((F.length(t) > 2) & t.startswith("%") & t.endswith("%"))
-    refer = refer | low.startswith("process.env.") | low.startswith("os.environ") | low.contains("getenv(") | low.startswith("env[")
-    mask = rx(t, r"^[*.\-_#]+$") | rx(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}]", ""), "^[xX]{3,}$")
-    parts = F.filter(F.split(t, "[^A-Za-z0-9]+"), lambda s: s != "")
-    marked = F.exists(parts, lambda s: F.lower(s).isin(P.PLACEHOLDER_WORDS) | rx(s, "^[xX]{3,}$"))
-    random = F.exists(parts, lambda s: (F.length(s) >= 8) & rx(s, "[0-9]") & rx(s, "[A-Za-z]"))
-    return refer | mask | (marked & ~random)
-
-
-def local_ipv4(v: Column) -> Column:
-    """Private, reserved and documentation addresses."""
-    o = F.transform(F.split(v, r"\."), lambda s: s.cast("int"))
-    a, b, c = o[0], o[1], o[2]
-    return (
-        a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
-        | ((a == 192) & (b == 0) & (c == 2)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)) | ((a == 198) & b.isin(18, 19))
-    )
+from .scan import Scanner
+
+SPAN = "struct<pattern_name:string,start_cp:int,end_cp:int,byte_start:int,byte_end:int,matched_text:string>"
+SPANS = f"array<{SPAN}>"
+
+
+def scan_batch(texts: pa.Array, scanner: Scanner) -> pa.Array:
+    """The findings of a batch of texts as a list array of SPAN structs; null texts give null."""
+    names, starts, ends, bytes_, sizes, values = [], [], [], [], [], []
+    offsets, valid = [0], []
+    for text in texts.to_pylist():
+        valid.append(text is not None)
+        if text:
+            for name, a, b in scanner.scan(text):
+                value = text[a:b]
+                names.append(name)
+                starts.append(a)
+                ends.append(b)
+                values.append(value)
+                bytes_.append(a if text.isascii() else len(text[:a].encode()))
+                sizes.append(len(value) if value.isascii() else len(value.encode()))
+        offsets.append(len(names))
+    first = np.array(bytes_, np.int32)
+    fields = [pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(first), pa.array(first + np.array(sizes, np.int32)), pa.array(values, pa.string())]
+    flat = pa.StructArray.from_arrays(fields, ["pattern_name", "start_cp", "end_cp", "byte_start", "byte_end", "matched_text"])
+    at = pa.array([o if ok else None for o, ok in zip(offsets, [*valid, True])], pa.int32())
+    return pa.ListArray.from_arrays(at, flat)
+
+
+def spans(text: str | Column, names: list[str] | None = None, private_ipv4: bool = False) -> Column:
+    """Every finding of ``names`` (all by default) in a text, as an array; null for a null text."""
+    scanner = Scanner(names, private_ipv4)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return scan_batch(texts, scanner)
+
+    return F.arrow_udf(run, SPANS)(text)
+
+
+def spans_of_each(texts: str | Column, names: list[str] | None = None) -> Column:
+    """The findings of every text of an array, each by itself: an array of arrays."""
+    scanner = Scanner(names)
 
+    def run(lists: pa.Array) -> pa.Array:
+        flat = scan_batch(lists.flatten(), scanner)
+        sizes = lists.value_lengths().to_pylist()
+        offsets = np.concatenate([[0], np.cumsum([n or 0 for n in sizes])])
+        at = pa.array([int(o) if n is not None else None for o, n in zip(offsets, [*sizes, 0])], pa.int32())
+        return pa.ListArray.from_arrays(at, flat)
 
-def iban_value(whole: Column) -> Column:
-    """The IBAN in a candidate (spaced or not), cut at its country's length; null if length or checksum is wrong."""
-    country = F.substring(whole, 1, 2)
-    lengths = F.create_map(*(F.lit(x) for kv in P.IBAN_LENGTHS.items() for x in kv))
-    n = F.try_element_at(lengths, country)
-    # a spaced candidate has its blanks after every fourth character
-    size = F.when(n.isNull(), F.length(whole)).when(whole.contains(" "), n + F.floor((n - 1) / 4).cast("int")).otherwise(n)
-    value = F.substring(whole, F.lit(1), size)
-    cut = F.regexp_replace(value, " ", "")
-    ok = F.when(n.isNotNull(), F.length(cut) == n).otherwise(F.length(cut).between(15, 34)) & ~rx(F.substring(whole, size + 1, F.lit(1)), "[A-Za-z0-9]")
-    turned = F.concat(F.substring(cut, F.lit(5), F.length(cut)), F.substring(cut, 1, 4))
-    digit = lambda ch: F.when(ch.between("0", "9"), ch.try_cast("int")).otherwise(F.ascii(ch) - 55)
-    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda r, ch: F.when(ch == "", r).otherwise((r * F.when(ch.between("0", "9"), 10).otherwise(100) + digit(ch)) % 97))
-    return F.when(ok & (rest == 1), value)
-
-
-def _inside_opaque(f: Column) -> Column:
-    left, right = F.regexp_extract(f["before"], f"{_RUN}*$", 0), F.regexp_extract(f["after"], f"^{_RUN}*", 0)
-    run = F.concat(left, f["matched_text"], right)
-    return ((left != "") | (right != "")) & (F.octet_length(run) >= 20) & rx(run, "[A-Za-z]") & ~rx(f["matched_text"], r"(?U)\s")
-
-
-def in_credential_field(before: Column) -> Column:
-    """The finding is the value of a key named like a credential."""
-    near = F.substring(before, F.greatest(F.lit(1), F.length(before) - 47), F.lit(48))
-    key = F.lower(F.regexp_replace(F.regexp_extract(near, r"(?s)^(.*)[=:\"' ,]", 1), r"^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$", ""))
-    return reduce(lambda a, b: a | b, (key.endswith(n) for n in P.CREDENTIAL_NAMES))
-
-
-def phone_in_number(f: Column) -> Column:
-    """Part of a decimal, a longer number or a chain of digit groups."""
-    return rx(f["before"], r"(?U)\d$|\d[.\-/]$") | rx(f["after"], r"(?U)^\d|^[.\-/,]\d")
-
-
-def keep(f: Column, private_ipv4: bool = False) -> Column:
-    """Whether a finding (struct of :func:`spans_of`) stands: validators and suppression of structural noise."""
-    name, v, before, after = f["pattern_name"], f["matched_text"], f["before"], f["after"]
-    fragment = _inside_opaque(f) & ~in_credential_field(before)
-    domain = F.substring_index(v, "@", -1)
-    tld = F.lower(F.substring_index(domain, ".", -1))
-    bad_mail = (F.substring_index(v, "@", 1) == "git") | tld.isin(P.FILE_EXTENSIONS) | rx(before, r"(?U)://[^/@ \t\n]+:$") | ~rx(tld, r"^\p{L}{2,}$")
-    user = F.regexp_extract(f["whole"], r"://([^\s/:@]+):", 1)
-    low = F.lower(F.regexp_replace(v, "^[.,;]+|[.,;]+$", ""))
-    shape = rx(F.regexp_replace(v, "^[.,;]+|[.,;]+$", ""), "^[0-9a-f]{7,}$") | low.startswith("/") | low.startswith("~/") | rx(v, "/.*/") | rx(v, "&[A-Za-z0-9#]{2,8};")
-    key_name = F.regexp_extract(f["whole"], r"^([A-Z][A-Z0-9_]*_KEY)\s*[:=]", 1)
-    other_key = (key_name != "") & ~rx(key_name, "(PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|APIKEY|ACCESS_KEY|PRIVATE_KEY)") & reduce(lambda a, b: a | b, (key_name.endswith(k) for k in P.IDENTIFIER_KEYS))
-    return (
-        F.when(name == "email", ~bad_mail)
-        .when(name.isin("phone_us", "phone_intl"), ~fragment & ~phone_in_number(f))
-        .when(name.isin("ssn", "ssn_nodash", "credit_card", "credit_card_nodash", "date", "time", "geocoord", "mac"), ~fragment)
-        .when(name == "api_key", ~non_secret_value(v) & (F.length(v) >= 12) & ~shape)
-        .when(name == "secret_assignment", ~non_secret_value(v) & ~other_key)
-        .when(name == "url_credentials", ~((F.lower(v) == F.lower(user)) | F.lower(v).isin(P.DEFAULT_URL_PASSWORDS) | non_secret_value(v)))
-        .when(name == "ipv4", F.lit(True) if private_ipv4 else ~local_ipv4(v))
-        .when(name.isin("twitter_handle", "social_handle"), ~rx(before, r"(?U)[\p{L}\p{N}._+\-]$") & ~rx(after, r"(?i)^\.[a-z]{2,}"))
-        .otherwise(True)
-    )
+    return F.arrow_udf(run, f"array<{SPANS}>")(texts)
 
 
 def findings(df: DataFrame, key: list[str], text: str, names: list[str] | None = None, private_ipv4: bool = False) -> DataFrame:
     """(key..., pattern_name, confidence, category, start_cp, end_cp, byte_start, byte_end, matched_text): all findings of ``names``.
 
-    One projection reads the text once; nothing is shuffled and no Python runs.  Findings of different
-    patterns may overlap; null texts have none.
+    The text is read once, whatever the number of patterns, and nothing is shuffled.  Findings of
+    different patterns may overlap; null and empty texts have none; whole texts are searched.
     """
-    chosen = [p for p in P.ALL if names is None or p.name in names]
-    t = F.col(text)
     m = lambda field: F.create_map(*(F.lit(x) for p in P.ALL for x in (p.name, getattr(p, field))))
-    every = F.concat(*(F.coalesce(spans_of(t, p), F.expr(f"cast(array() as {SPANS})")) for p in chosen))
-    f = df.select(*key, t.alias("_t"), F.explode(every).alias("f")).filter(keep(F.col("f"), private_ipv4))
-    v = F.when(F.col("f.pattern_name") == "iban", iban_value(F.col("f.matched_text"))).otherwise(F.col("f.matched_text"))
-    f = f.withColumn("_v", v).filter("_v is not null")
-    start, end = F.col("f.start_cp"), F.col("f.start_cp") + F.char_length("_v")
-    byte = F.octet_length(F.substring("_t", F.lit(1), start))
+    f = df.select(*key, F.explode(spans(text, names, private_ipv4)).alias("f"))
     return f.select(
         *key, F.col("f.pattern_name").alias("pattern_name"), m("confidence")[F.col("f.pattern_name")].alias("confidence"), m("category")[F.col("f.pattern_name")].alias("category"),
-        start.alias("start_cp"), end.alias("end_cp"), byte.alias("byte_start"), (byte + F.octet_length("_v")).alias("byte_end"), F.col("_v").alias("matched_text"),
+        "f.start_cp", "f.end_cp", "f.byte_start", "f.byte_end", "f.matched_text",
     )

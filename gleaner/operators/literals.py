@@ -1,13 +1,18 @@
 """Matching of long lists of literal values: all occurrences, or leftmost longest ones, with edge rules."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from gleaner.session import cut_lineage
+
+from .spans import greedy
+
 _HIT = T.ArrayType(T.StructType([T.StructField("start_cp", T.IntegerType()), T.StructField("end_cp", T.IntegerType()), T.StructField("literal", T.StringType())]))
 
-#: Literals an automaton takes at most.
+#: Literals of one automaton, about; a longer list is searched in shards.
 LIST_ROWS = 200_000
 
 
@@ -72,26 +77,35 @@ def _finder(literals, longest: bool, ignore_case: bool):
     return F.pandas_udf(run, _HIT)
 
 
-def _listed(literals: DataFrame) -> list[tuple[str, bool]]:
-    rows = [(r.literal, bool(r.anywhere)) for r in literals.select("literal", "anywhere").distinct().limit(LIST_ROWS + 1).collect()]
-    if len(rows) > LIST_ROWS:
-        raise ValueError(f"more than {LIST_ROWS} literals")
-    return rows
+def _shards(literals: DataFrame) -> list[list[tuple[str, bool]]]:
+    """The distinct literals in shards of about LIST_ROWS, by hash; each is held by a worker at a time."""
+    d = cut_lineage(literals.filter("literal <> ''").groupBy("literal").agg(F.max("anywhere").alias("anywhere")))
+    n = d.count() // LIST_ROWS + 1
+    return [[(r.literal, bool(r.anywhere)) for r in d.filter(F.pmod(F.xxhash64("literal"), F.lit(n)) == i).collect()] for i in range(n)]  # about LIST_ROWS each
 
 
 def contained(units: DataFrame, key: str, text: str, values: DataFrame) -> DataFrame:
-    """(key, value): the values of at most LIST_ROWS that a unit contains anywhere, in their own case."""
-    rows = _listed(values.select(F.col("value").alias("literal"), F.lit(True).alias("anywhere")))
-    find = _finder(units.sparkSession.sparkContext.broadcast(rows), False, False)
-    return units.select(key, F.explode(F.array_distinct(F.transform(find(text), lambda h: h["literal"]))).alias("value"))
+    """(key, value): the distinct values a unit contains anywhere, inside words too, in their own case.
+
+    Each shard of the values is an automaton that reads all texts.
+    """
+    parts = []
+    for rows in _shards(values.select(F.col("value").alias("literal"), F.lit(True).alias("anywhere"))):
+        find = _finder(units.sparkSession.sparkContext.broadcast(rows), False, False)
+        parts.append(units.select(key, F.explode(F.array_distinct(F.transform(find(text), lambda h: h["literal"]))).alias("value")))
+    return reduce(DataFrame.union, parts)
 
 
 def matches(texts: DataFrame, text: str, literals: DataFrame, longest: bool = False, ignore_case: bool = True) -> DataFrame:
-    """(text, start_cp, end_cp, literal): occurrences of ``literals(literal, anywhere)`` in the distinct texts.
+    """(text, start_cp, end_cp, literal): occurrences of ``literals(literal, anywhere)`` in the distinct texts.
 
-    The list goes to every worker, so it is refused above LIST_ROWS literals.
+    A list of any length is searched, in shards of LIST_ROWS; with several, the leftmost and longest are chosen
+    over the hits of all.
     """
-    rows = _listed(literals)
     distinct = texts.select(text).filter(F.col(text).isNotNull()).distinct()
-    find = _finder(texts.sparkSession.sparkContext.broadcast(rows), longest, ignore_case)
-    return distinct.select(text, F.explode(find(text)).alias("h")).select(text, "h.*")
+    shards, parts = _shards(literals), []
+    for rows in shards:
+        find = _finder(texts.sparkSession.sparkContext.broadcast(rows), longest and len(shards) == 1, ignore_case)
+        parts.append(distinct.select(text, F.explode(find(text)).alias("h")).select(text, "h.*"))
+    out = reduce(DataFrame.union, parts)
+    return greedy(out, [text], carry=["literal"]) if longest and len(shards) > 1 else out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .skew import running
+
 
 def exact_scores(gold: DataFrame, found: DataFrame, cols: list[str], by: str) -> DataFrame:
     """(by, tp, fp, fn, precision, recall, f1) of exact spans."""
@@ -16,9 +18,8 @@ def exact_scores(gold: DataFrame, found: DataFrame, cols: list[str], by: str) ->
 
 def keep_set(counts: DataFrame, value: str, n: str, share: float) -> DataFrame:
     """The smallest prefix of most frequent values that reaches ``share`` of all."""
-    w = Window.orderBy(F.desc(n), value)
-    d = counts.withColumn("_before", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return d.crossJoin(counts.agg(F.sum(n).alias("_all"))).filter(F.col("_before") < F.col("_all") * share).select(value, n)  # one row of totals
+    whole = counts.agg(F.sum(n)).first()[0] or 0
+    return running(counts, [F.desc(n), F.col(value)], F.col(n)).filter(F.col("upto") < F.lit(float(whole * share))).select(value, n)
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, q: list[float]) -> DataFrame:
@@ -71,3 +72,8 @@ def windows(words: Column, size: int, overlap: int) -> Column:
     step, n = size - overlap, F.size(words)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int") * step), F.lit(step))
     return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+
+def word_split(text: Column) -> Column:
+    """Words, joined at ``-`` and ``_``, and every other character that is no blank by itself."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+(?:[-_]\w+)*|\S"), F.lit(0))

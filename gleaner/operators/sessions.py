@@ -6,6 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleaner.session import cut_lineage
+
+from .skew import hot_keys, salted_join
+
 # Keys whose values are identifiers or encodings, keys of natural text, shared accounts, classes that never spread.
 STRUCTURAL = ["id", "parentId", "timestamp", "type", "role", "toolCallId", "toolName", "model", "modelId", "provider", "api", "stopReason", "mimeType", "version", "customType", "responseId", "thinkingLevel", "thinkingSignature", "signature", "encrypted_content", "textSignature"]
 PROSE = ["text", "thinking", "summary", "message"]
@@ -79,20 +83,40 @@ def spreads(name: Column, value: Column) -> Column:
     return ~name.isin(NO_SPREAD) & (F.length(value) >= 4) & (value.rlike(r"\p{L}") | (F.length(value) >= 7))
 
 
+_ALNUM = r"[\p{L}\p{N}]+"
+
+
+def _longest_run(value: Column) -> Column:
+    """The longest run of letters and digits of a value, the first of equals; empty where it has none."""
+    runs = F.regexp_extract_all(value, F.lit(_ALNUM), F.lit(0))
+    return F.aggregate(runs, F.lit(""), lambda a, r: F.when(F.char_length(r) > F.char_length(a), r).otherwise(a))
+
+
 def propagated(values: DataFrame, leaves: DataFrame, session: str, text: str, key: str) -> DataFrame:
     """(key, value, occurrences): every value of a session in every leaf of it, at word edges where the value ends in letters or digits.
 
-    Values are made distinct per session before the join; only the leaves' distinct texts are searched.
+    Edges make each run of letters and digits of a value a whole run of the text, so texts and values meet on
+    session and run (the value's longest) only; runs that are common in a large session are spread over tasks.
+    Distinct texts are searched, each under its digest.  Values without letters and digits meet all texts of
+    their session.  Null texts and values give nothing.
     """
-    v = values.select(session, "value").distinct()
-    texts = leaves.select(session, text).distinct()
-    j = texts.join(v, session).filter(F.col(text).contains(F.col("value")))
-    # the parts between occurrences tell what stands at their edges
-    quoted = F.concat(F.lit(r"\Q"), F.col("value"), F.lit(r"\E"))
+    v = values.select(session, "value").filter("value is not null and value <> ''").distinct().withColumn("_r", _longest_run(F.col("value")))
+    texts = leaves.filter(F.col(text).isNotNull()).select(session, text).distinct().withColumn("_h", F.md5(text))
+    at = lambda r: F.xxhash64(session, r)
+    wanted = v.select(at("_r").alias("_k"), F.col(session).alias("_vs"), "value").distinct()
+    runs = texts.select(session, "_h", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(_ALNUM), F.lit(0))))).alias("_r"))
+    met = runs.select(at("_r").alias("_k"), session, "_h").join(wanted.select("_k").distinct(), "_k", "left_semi")
+    n = cut_lineage(met.groupBy("_k").agg(F.count("*").alias("n")))
+    hot = hot_keys(n, "_k", "n", n.agg(F.sum("n")).first()[0] or 0)
+    pairs = salted_join(met, wanted, "_k", "_h", hot).filter(F.col(session) == F.col("_vs")).select(session, "_h", "value").distinct()
+    j = pairs.join(texts, [session, "_h"]).filter(F.col(text).contains(F.col("value")))
+    quoted = F.regexp_replace("value", r"([^\p{L}\p{N}\s])", r"\\$1")
     left = F.when(F.col("value").rlike(r"^[\p{L}\p{N}]"), r"(?<![\p{L}\p{N}])").otherwise("")
     right = F.when(F.col("value").rlike(r"[\p{L}\p{N}]$"), r"(?![\p{L}\p{N}])").otherwise("")
-    j = j.withColumn("occurrences", F.size(F.regexp_extract_all(F.col(text), F.concat(left, quoted, right), F.lit(0)))).filter("occurrences > 0")
-    return leaves.select(key, session, text).join(j, [session, text]).select(key, "value", "occurrences")
+    found = j.withColumn("occurrences", F.size(F.regexp_extract_all(F.col(text), F.concat(left, quoted, right), F.lit(0)))).filter("occurrences > 0")
+    found = found.groupBy(session, "_h").agg(F.collect_list(F.struct("value", "occurrences")).alias("_f"))  # the values of one text
+    rows = leaves.select(key, session, F.md5(text).alias("_h")).join(found, [session, "_h"])
+    return rows.select(key, F.explode("_f").alias("f")).select(key, "f.value", "f.occurrences")
 
 
 def first_classes(df: DataFrame, space: str, value: str, cls: str, order: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from gleaner.session import cut_lineage
 
 #: A key counts as hot from this share of all rows; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 500
@@ -31,3 +33,21 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot: D
         .drop("_hot")
     )
     return lt.join(rt, [key, "_salt"], how).drop("_salt")
+
+
+def running(df: DataFrame, order: list[Column], total: Column | None = None) -> DataFrame:
+    """``df`` with ``ordinal`` (from 1, in ``order``) and, if ``total`` is given, ``upto`` (its sum over the rows before).
+
+    In two levels: rows are sorted in ranges, a task each, and each range starts from the sums of those before it.
+    ``order`` should tell all rows apart; no task holds more than its range.
+    """
+    d = df.withColumn("_x", total if total is not None else F.lit(0)).repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    d = cut_lineage(d)  # so that a range's number is data
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = d.groupBy("_p").agg(F.count("*").alias("_n"), F.sum("_x").alias("_s"))
+    starts = starts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    w = Window.partitionBy("_p").orderBy(*order)
+    d = d.join(F.broadcast(starts), "_p").withColumn("ordinal", F.col("_n0") + F.row_number().over(w))
+    if total is not None:
+        d = d.withColumn("upto", F.col("_s0") + F.coalesce(F.sum("_x").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return d.drop("_p", "_x", "_n0", "_s0")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions import patterns as P
+from gleaner.session import cut_lineage
 
 CATEGORIES = ["contact", "identity", "financial", "network", "authentication", "social", "other"]
 
@@ -25,9 +26,22 @@ def fail_on(findings: DataFrame, names: list[str]) -> DataFrame:
 
 
 def blockers(findings: DataFrame, order: list[str], names: list[str]) -> DataFrame:
-    """(pattern_name, first_seen): the blocking patterns in the order they are first met."""
-    hit = fail_on(findings, names)
-    first = hit.groupBy("pattern_name").agg(F.min(F.struct(*order, (-F.col("end_cp")).alias("_e"), F.col("pattern_name").alias("_p"))).alias("_k"))
-    counts = hit.select(F.struct(*order, (-F.col("end_cp")).alias("_e"), F.col("pattern_name").alias("_p")).alias("_h"))
-    # the ordinal of a first finding is the number of findings up to it: few firsts against all findings
-    return counts.join(F.broadcast(first), F.col("_h") <= F.col("_k")).groupBy("pattern_name").agg(F.count("*").alias("first_seen"))
+    """(pattern_name, first_seen): the blocking patterns in the order they are first met.
+
+    The texts are searched once; the ordinal of a pattern's first finding is the number of findings up to it,
+    one conditional count a pattern, of which there are at most as many as patterns.
+    """
+    hit = cut_lineage(fail_on(findings, names).select("pattern_name", F.struct(*order, (-F.col("end_cp")).alias("_e"), F.col("pattern_name").alias("_p")).alias("_k")))
+    first = hit.groupBy("pattern_name").agg(F.min("_k").alias("_k")).collect()  # one row a pattern
+    spark = findings.sparkSession
+    if not first:
+        return spark.createDataFrame([], "pattern_name string, first_seen long")
+    kind = hit.schema["_k"].dataType
+    bound = lambda k: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, kind.fields)))
+    counts = hit.agg(*(F.count(F.when(F.col("_k") <= bound(r["_k"]), 1)).alias(r.pattern_name) for r in first))
+    return counts.select(F.explode(F.map_from_arrays(F.array(*(F.lit(r.pattern_name) for r in first)), F.array(*(F.col(r.pattern_name) for r in first)))).alias("pattern_name", "first_seen"))
+
+
+def merged(parts: DataFrame, by: list[str]) -> DataFrame:
+    """A2: partial summaries ``n`` of several runs put together."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"))

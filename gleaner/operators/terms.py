@@ -50,12 +50,23 @@ def parts(term: Column) -> Column:
 
 
 def counted(texts: DataFrame, text: str, source: str, longest: int = 3, with_structured: bool = False) -> DataFrame:
-    """A3: (term, occurrences, distinct_texts, sources): over all texts; equal texts count as one distinct text."""
+    """A3: (term, occurrences, distinct_texts, sources): over all texts; equal texts count as one distinct text.
+
+    Copies are counted first, so that a repeated text is cut into terms once a source; then terms are counted by
+    source, and those counts by term: no relation is multiplied by the number of distinct counts.
+    """
     t = F.col(text)
     terms = F.concat(phrases(t, longest), structured(t)) if with_structured else phrases(t, longest)
-    # per text first: a term's repeats within a text shrink before the shuffle
-    rows = texts.filter(t.isNotNull()).select(F.col(source).alias("_s"), F.xxhash64(t).alias("_h"), F.explode(terms).alias("term")).filter(valid(F.col("term")))
-    return rows.groupBy("term").agg(F.count("*").alias("occurrences"), F.count_distinct("_h").alias("distinct_texts"), F.count_distinct("_s").alias("sources"))
+    each = texts.filter(t.isNotNull()).groupBy(text, F.col(source).alias("_s")).agg(F.count("*").alias("_c"))
+    each = each.withColumn("_first", F.row_number().over(Window.partitionBy(text).orderBy(F.col("_s").asc_nulls_first())) == 1)
+    rows = each.select("_s", "_c", "_first", F.explode(terms).alias("term")).filter(valid(F.col("term")))
+    inside = rows.withColumn("_one", F.col("_first"))
+    # how often a term is in a text, before anything is shuffled: repeats count once for the text
+    per = each.select("_s", "_c", "_first", F.explode(F.array_distinct(terms)).alias("term")).filter(valid(F.col("term")))
+    by_source = inside.groupBy("term", "_s").agg(F.sum("_c").alias("_o"))
+    texts_of = per.filter("_first").groupBy("term").agg(F.count("*").alias("distinct_texts"))
+    total = by_source.groupBy("term").agg(F.sum("_o").alias("occurrences"), F.count("_s").alias("sources"))
+    return total.join(texts_of, "term").select("term", "occurrences", "distinct_texts", "sources")
 
 
 def specificity(distinct_texts: Column, sources: Column, all_sources: int) -> Column:
@@ -103,7 +114,7 @@ def case_aware(terms: DataFrame) -> DataFrame:
 def examples(texts: DataFrame, key: str, text: str, source: str, terms: DataFrame, k: int = 3) -> DataFrame:
     """A4: (term, source, key): up to ``k`` texts for each term, one a source before a second of any."""
     rows = texts.filter(F.col(text).isNotNull()).select(key, source, F.explode(F.array_distinct(phrases(F.col(text), 1))).alias("term")).join(terms.select("term"), "term", "left_semi")
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("term", source).orderBy(key)))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("term", source).orderBy(key))).filter(F.col("_r") <= k)
     return first.withColumn("_k", F.row_number().over(Window.partitionBy("term").orderBy("_r", source, key))).filter(F.col("_k") <= k).select("term", source, key)
 
 
@@ -122,8 +133,12 @@ def reviewed(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def fingerprint(texts: DataFrame, cols: list[str]) -> DataFrame:
-    """One digest of a corpus, whatever its order: the digest of its rows' sorted digests, by two levels."""
+    """(fingerprint): one digest of a corpus: of the number of rows and of the sums of the parts of its rows' digests.
+
+    A row's digest covers the length and the text of each of ``cols``; put a key among them, and the order counts too.
+    Sums go through any number of tasks in fixed memory.
+    """
     row = F.sha2(F.concat_ws("|", *(F.concat(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols)), 256)
-    rows = texts.select(row.alias("h")).withColumn("b", F.substring("h", 1, 2))
-    part = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", "h"))), ""), 256).alias("fingerprint"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)"))
+    sums = [F.coalesce(part(i), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]
+    return texts.select(row.alias("h")).agg(F.sha2(F.concat_ws("|", F.count("*"), *sums), 256).alias("fingerprint"))

@@ -90,6 +90,69 @@ def leaves(recs: DataFrame, keys: list[str], record: str = "record") -> DataFram
     return recs.select(*keys, F.explode(walk(record)).alias("l")).select(*keys, "l.*")
 
 
+def string_values(record: str | None) -> list[str] | None:
+    """The string values of a JSON record in order, without its keys; null where it is no JSON."""
+    if record is None:
+        return None
+    try:
+        x = json.loads(record)
+    except ValueError:
+        return None
+    out: list[str] = []
+    stack = [x]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            out.append(v)
+        elif isinstance(v, (dict, list)):
+            stack += reversed(list(v.values() if isinstance(v, dict) else v))
+    return out
+
+
+def string_leaves(record: Column) -> Column:
+    """Column form of :func:`string_values`."""
+    return F.pandas_udf(lambda s: s.map(string_values), "array<string>")(record)
+
+
+def _put(x, values: iter):
+    if isinstance(x, str):
+        return next(values)
+    if isinstance(x, dict):
+        return {k: _put(v, values) for k, v in x.items()}
+    return [_put(v, values) for v in x] if isinstance(x, list) else x
+
+
+def _written(x, indent: int | None, level: int = 0) -> str:
+    """JSON with numbers as they were read."""
+    if isinstance(x, _Number):
+        return x.lexeme
+    if not isinstance(x, (dict, list)) or not x:
+        return json.dumps(x, ensure_ascii=False)
+    gap = "" if indent is None else "\n" + " " * indent * (level + 1)
+    colon = ":" if indent is None else ": "
+    items = [(json.dumps(k, ensure_ascii=False) + colon + _written(v, indent, level + 1)) for k, v in x.items()] if isinstance(x, dict) else [_written(v, indent, level + 1) for v in x]
+    end = "" if indent is None else "\n" + " " * indent * level
+    open_, close = "{}" if isinstance(x, dict) else "[]"
+    return open_ + gap + ("," + gap).join(items) + end + close
+
+
+def with_string_values(record: str | None, values: list[str] | None, compact: bool) -> str | None:
+    """A JSON record with its string values, in order, replaced by ``values``; a record none of whose values changes stays as it was written, if ``compact``."""
+    old = string_values(record)
+    if old is None:
+        return None
+    values = list(values) if values is not None and old else []
+    if compact and values == old:
+        return record
+    x = json.loads(record, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+    return _written(_put(x, iter(values)), None if compact else 2)
+
+
+def with_leaves(record: Column, values: Column, compact: bool) -> Column:
+    """Column form of :func:`with_string_values`."""
+    return F.pandas_udf(lambda r, v: pd.Series([with_string_values(a, b, compact) for a, b in zip(r, v)], dtype=object), "string")(record, values)
+
+
 _STEP = {"key": r"[^.\[\]]+", "any": r"(?:\.?[^.\[\]]+|\[[0-9]+\])"}
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import corpus as C, scoring as Q, sessions as S, units as U
+from gleaner.functions import patterns as P
+from gleaner.operators import corpus as C, replace as X, scoring as Q, sessions as S, units as U
 from gleaner.operators.extract import findings
 from gleaner.session import read_table, spread
 
-from .detect import extraction_sql, quoted
+from .detect import WORDS, extraction_sql, quoted
 from .session_queries import _RECORDS, _TREE, _leaves
 from .span_queries import _GOLD, gold
 
@@ -39,21 +40,13 @@ def filter_p13_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", C.denied_by(F.col("text"), _RULES).alias("denied_by"))
 
 
-_VAL = "(select distinct a.value as value from (select unnest(annotations) as a from training_examples) where a.entity_type in ('person', 'email') and length(a.value) >= 6 and regexp_matches(a.value, '^[\\x21-\\x7e][\\x20-\\x7e]*$'))"
+_VAL = "(select distinct a.value as value from (select unnest(annotations) as a from training_examples) where a.entity_type in ('person', 'email') and length(a.value) >= 6)"
 
 
-@query(f"select record_id, value from gold_ner join {_VAL} v on contains(text, value) where regexp_matches(value, '[A-Za-z0-9]')")
+@query(f"select record_id, value from gold_ner join {_VAL} v on contains(text, value)")
 def j6_reviewed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a"))
-    v = a.filter("a.entity_type in ('person', 'email') and length(a.value) >= 6").select(F.col("a.value").alias("value")).filter(F.col("value").rlike(r"^[\x21-\x7e][\x20-\x7e]*$") & F.col("value").rlike("[A-Za-z0-9]")).distinct()
-    g = spread(read_table(spark, sf_dir, "gold_ner").select("record_id", "text").filter("text is not null"), "record_id")
-    return C.occurrences(g, v, "record_id", "text")
-
-
-@query()
-def j6_reviewed_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a"))
-    v = a.filter("a.entity_type in ('person', 'email') and length(a.value) >= 6").select(F.col("a.value").alias("value")).filter(F.col("value").rlike(r"[\p{L}\p{N}]")).distinct()
+    v = a.filter("a.entity_type in ('person', 'email') and length(a.value) >= 6").select(F.col("a.value").alias("value")).distinct()
     g = spread(read_table(spark, sf_dir, "gold_ner").select("record_id", "text").filter("text is not null"), "record_id")
     return C.occurrences(g, v, "record_id", "text")
 
@@ -215,16 +208,14 @@ def x4_high_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter(entropy(F.col("token")) > 3.5)
 
 
-@query("select row_id, unnest(regexp_extract_all(_text, '[\\p{L}\\p{N}_]+(?:[-_][\\p{L}\\p{N}_]+)*|[^\\s\\p{L}\\p{N}_]')) as token from label_sessions where regexp_matches(_text, '^[\\x00-\\x7f]*$')")
-def x10_word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = read_table(spark, sf_dir, "label_sessions").filter(F.col("_text").rlike(r"^[\x00-\x7f]*$"))
-    return l.select("row_id", F.explode(F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]"), F.lit(0))).alias("token"))
+_WD = f"[{WORDS}]"
+_NOT = "[^" + P.to_re2(r"[\s]")[1:-1] + "]"
 
 
-@query()
-def x10_word_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"select row_id, unnest(regexp_extract_all(_text, '{_WD}+(?:[-_]{_WD}+)*|{_NOT}')) as token from label_sessions where _text is not null")
+def x10_word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read_table(spark, sf_dir, "label_sessions").filter("_text is not null")
-    return l.select("row_id", F.explode(F.regexp_extract_all("_text", F.lit(r"(?U)\w+(?:[-_]\w+)*|\S"), F.lit(0))).alias("token"))
+    return l.select("row_id", F.explode(Q.word_split(F.col("_text"))).alias("token"))
 
 
 @query("select entity_type as label, case entity_type when 'first_name' then 'person' when 'last_name' then 'person' when 'phone_us' then 'phone' when 'phone_intl' then 'phone' else entity_type end as coarse, count(*) as n from (select a.entity_type from (select unnest(annotations) as a from training_examples)) group by 1, 2")
@@ -259,7 +250,5 @@ def o6_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select term, row_number() over (order by length(term) desc, term) as ordinal from (select distinct s.value as term from (select unnest(spans) as s from challenge))")
 def o7_alias_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     t = read_table(spark, sf_dir, "challenge").select(F.explode("spans").alias("s")).select(F.col("s.value").alias("term")).distinct()
-    return t.select("term", F.row_number().over(Window.orderBy(F.length("term").desc(), "term")).alias("ordinal"))
+    return X.alias_order(t, "term")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions import patterns as P, rulesets as R
-from gleaner.operators.extract import WINDOW, findings
-from gleaner.operators.summary import blockers, summary
+from gleaner.operators.extract import findings
+from gleaner.operators.summary import blockers, merged, summary
 from gleaner.session import read_table, spread
 
 QUERIES: dict = {}
@@ -38,30 +42,72 @@ GROUPS = {
     "network": ["ipv4", "ipv6", "mac", "uuid"],
     "social": ["home_dir", "unix_path", "twitter_handle", "social_handle", "social_url", "geocoord"],
     "financial": ["credit_card", "credit_card_nodash"],
-    "authentication": ["api_key", "jwt", "aws_key", "vendor_secret", "secret_assignment", "url_credentials", "private_key"],
-    "iban": ["iban"],
-    "labelled_phone": ["phone_labelled"],
-    "username": ["username"],
-    "licence": ["drivers_license"],
 }
+EVERY = [p.name for p in P.ALL]
+
+
+def _word_ranges() -> str:
+    """Word characters beyond ASCII that are no digits, as a class: letters, marks, joiners."""
+    hit = [c for c in range(0x80, 0x30000) if unicodedata.category(chr(c)) != "Nd" and regex.match(r"\w", chr(c))]
+    runs: list[list[int]] = []
+    for c in hit:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
+_DIGITS = "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd")
+#: An engine whose word boundaries and digits are ASCII sees other scripts' letters as ``_`` and their digits as digits; lengths stay.
+_SEEN = "translate(regexp_replace(@, '[" + _word_ranges() + "]', '_', 'g'), '" + _DIGITS + "', '" + "".join(str(unicodedata.decimal(c)) for c in _DIGITS) + "')"
+def seen(text: str) -> str:
+    return _SEEN.replace("@", text)
+
+
+#: Letters of other scripts, seen as ``_``, are no part of a finding of these.
+_NARROW = ("jwt", "vendor_secret", "username", "twitter_handle", "social_handle", "social_url")
+WORDS = r"\p{L}\p{N}\p{M}_\x{200c}\x{200d}"
+
+
+def _listed(words: list[str]) -> str:
+    return ", ".join(map(quoted, words))
+
+
+def _any_of(words: list[str]) -> str:
+    return "|".join(map(re.escape, words))
+
+
 _FRAGMENT = r"""not (((l <> '') or (r <> '')) and strlen(l || v || r) >= 20 and regexp_matches(l || v || r, '[A-Za-z]') and not regexp_matches(v, '[\s\x{a0}\x{2007}\x{202f}]')
   and not regexp_matches(lower(regexp_replace(regexp_extract(right(before, 48), '(?s)^(.*)[=:"'' ,]', 1), '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g')), '(password|passwd|secret|token|api_key|apikey|access_key|private_key|credential)$'))"""
 _NUMBER = r"""not (regexp_matches(before, '\p{Nd}$|\p{Nd}[.\-/]$') or regexp_matches(after, '^\p{Nd}|^[.\-/,]\p{Nd}'))"""
+_BARE = """regexp_replace(v, '^["''`]+|["''`]+$', '', 'g')"""
+_PARTS = f"string_split_regex({_BARE}, '[^A-Za-z0-9]+')"
+_SECRET = rf"""not (regexp_matches(lower({_BARE}), '(?s)^({_any_of(P.REFERENCE_SCHEMES)}|process\.env\.|os\.environ|env\[|\$\{{|\{{\{{|<.*>$|%.+%$)|getenv\(') or regexp_matches({_BARE}, '^[*.\-_#]+$')
+  or regexp_matches(regexp_replace({_BARE}, '[^\p{{L}}\p{{N}}]', '', 'g'), '^[xX]{{3,}}$')
+  or (len(list_filter({_PARTS}, lambda x: lower(x) in ({_listed(P.PLACEHOLDER_WORDS)}) or regexp_matches(x, '^[xX]{{3,}}$'))) > 0
+    and len(list_filter({_PARTS}, lambda x: length(x) >= 8 and regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Za-z]'))) = 0))"""
 RULES = {
-    "email": "not (split_part(v, '@', 1) = 'git' or lower(regexp_extract(v, '[^.]*$')) in (" + ", ".join(map(quoted, P.FILE_EXTENSIONS)) + r") or regexp_matches(before, '://[^/@ \t\n]+:$'))",
+    "email": "not (split_part(v, '@', 1) = 'git' or lower(regexp_extract(v, '[^.]*$')) in (" + _listed(P.FILE_EXTENSIONS) + r") or regexp_matches(before, '://[^/@ \t\n]+:$'))",
     "phone_us": f"{_FRAGMENT} and {_NUMBER}",
     "phone_intl": f"{_FRAGMENT} and {_NUMBER}",
     "twitter_handle": r"not regexp_matches(before, '[\p{L}\p{N}._+\-]$') and not regexp_matches(after, '(?i)^\.[a-z]{2,}')",
     "ipv4": r"not (list_transform(string_split(v, '.'), lambda x: x::int)[1] in (0, 10, 127) or regexp_matches(v, '^(172\.(1[6-9]|2\d|3[01])\.|192\.168\.|169\.254\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|22[4-9]\.|2[345]\d\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|198\.1[89]\.)'))",
+    "api_key": rf"{_SECRET} and length(v) >= 12 and not regexp_matches(v, '^[.,;]*(([0-9a-fA-F]{{7,}}[.,;]*$)|/|~/)|/.*/|&[A-Za-z0-9#]{{2,8}};')",
+    "secret_assignment": rf"{_SECRET} and not (regexp_extract(whole, '^([A-Z][A-Z0-9_]*_KEY)\s*[:=]', 1) <> '' and regexp_matches(regexp_extract(whole, '^([A-Z][A-Z0-9_]*_KEY)\s*[:=]', 1), '({_any_of(P.IDENTIFIER_KEYS)})$') and not regexp_matches(regexp_extract(whole, '^([A-Z][A-Z0-9_]*_KEY)\s*[:=]', 1), 'PASSWORD|PASSWD|SECRET|TOKEN|API_KEY|APIKEY|ACCESS_KEY|PRIVATE_KEY'))",
+    "url_credentials": rf"lower(v) not in ({_listed(P.DEFAULT_URL_PASSWORDS)}) and lower(v) <> lower(regexp_extract(whole, '://([^\s/:@]+):', 1)) and {_SECRET}",
 }
 for _n in ("ssn", "ssn_nodash", "credit_card", "credit_card_nodash", "date", "time", "geocoord", "mac"):
     RULES[_n] = _FRAGMENT
 RULES["social_handle"] = RULES["twitter_handle"]
+for _n in _NARROW:
+    RULES[_n] = RULES.get(_n, "true") + r" and regexp_matches(v, '^[\x00-\x7f]*$')"
 
-
-#: Word characters, and forms whose word boundaries are spelled out for an engine with ASCII ones.
-_WORDS = r"\p{L}\p{N}\p{M}_\x{200c}\x{200d}"
-BOUNDED = {*GROUPS["identity"], "email"}
+_COUNTRY = "map {" + ", ".join(f"'{c}': {n}" for c, n in P.IBAN_LENGTHS.items()) + "}[v[1:2]]"
+_IBAN = f"""(select key, t, left(v, size) as v, s, whole, before, after from (select *, case when n is null then length(v) when contains(v, ' ') then n + (n - 1) // 4 else n end as size
+  from (select *, {_COUNTRY} as n from (select * from found)))
+  where not regexp_matches(substr(v, size + 1, 1), '[A-Za-z0-9]') and (n is null and length(replace(left(v, size), ' ', '')) between 15 and 34 or length(replace(left(v, size), ' ', '')) = n)
+    and list_reduce(list_transform(string_split(substr(replace(left(v, size), ' ', ''), 5) || left(v, 4), ''), lambda c: case when c between '0' and '9' then c::int else ascii(c) - 55 end), lambda a, x: (a * (case when x > 9 then 100 else 10 end) + x) % 97) = 1)"""
 
 
 def extraction_sql(table: str, names: list[str]) -> str:
@@ -69,51 +115,47 @@ def extraction_sql(table: str, names: list[str]) -> str:
     key, text = TEXTS[table]
     parts = []
     for n in names:
-        p, form = P.BY_NAME[n], P.BY_NAME[n].re2
-        bounded = n in BOUNDED
+        p, form, of = P.BY_NAME[n], P.BY_NAME[n].re2, "u"
         if n == "email":
             tail = form.split(r"\b[a-z0-9._%+-]+")[1][:-2]
-            form = rf"(?i)(^|[^{_WORDS}])([a-z0-9_][a-z0-9._%+-]*{tail})|([{_WORDS}])([.%+-][a-z0-9._%+-]*{tail})"
-        elif bounded:
-            flag = "(?i)" if form.startswith("(?i)") else ""
-            form = rf"{flag}(^|[^{_WORDS}])({form[len(flag) + 2 : -2]})(?:$|[^{_WORDS}])"
-        re_ = quoted(form)
-        groups = "".join(f", regexp_extract_all({text}, {re_}, {k}) as x{k}" for k in (range(1, 5) if n == "email" else range(1, 3) if bounded else ()))
-        value = "coalesce(nullif(x2[i], ''), x4[i])" if n == "email" else "x2[i]" if bounded else "m[i]"
-        skip = "length(coalesce(x1[i], '')) + length(coalesce(x3[i], ''))" if n == "email" else "length(x1[i])" if bounded else "0"
+            form, of = rf"(?i)(^|[^{WORDS}])([a-z0-9_][a-z0-9._%+-]*{tail})|([{WORDS}])([.%+-][a-z0-9._%+-]*{tail})", "t"
+        elif r"\p{" in p.form:
+            of = "t"
+        re_, pairs = quoted(form), 2 if n == "email" else p.pairs
+        groups = "".join(f", regexp_extract_all({of}, {re_}, {k}) as x{k}" for k in range(1, 2 * pairs + 1))
+        size = "coalesce(" + "".join(f"nullif(length(x{k}[i]), 0), " for k in range(2, 2 * pairs + 1, 2)) + "length(m[i]))"
+        skip = "case " + "".join(f"when x{k}[i] <> '' then length(x{k - 1}[i]) " for k in range(2, 2 * pairs + 1, 2)) + "else 0 end" if pairs else "0"
+        found = f"""
+  select key, t, substr(t, s + 1, n) as v, s, w as whole, left(t, s) as before, substr(t, s + n + 1) as after from (
+    select key, t, {size} as n, substr(t, o + 1, length(m[i])) as w, o + {skip} as s from (
+      select *, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::int as o from (
+        select *, unnest(range(1, len(m) + 1)) as i from (
+          select *, regexp_extract_all({of}, {re_}) as m, string_split_regex({of}, {re_}) as g{groups} from seen where regexp_matches({of}, {re_})))))"""
+        rows = _IBAN.replace("found", f"({found})") if n == "iban" else f"({found})"
         parts.append(f"""
-select {key}, '{n}' as pattern_name, '{p.confidence}' as confidence, '{p.category}' as category, s as start_cp, s + length(v) as end_cp,
-  strlen(left(t, s)) as byte_start, strlen(left(t, s)) + strlen(v) as byte_end, v as matched_text
-from (select *, regexp_extract(before, '[A-Za-z0-9.+=\\-]*$') as l, regexp_extract(after, '^[A-Za-z0-9.+=\\-]*') as r from (
-  select {key}, t, v, s, substr(t, greatest(1, s + 1 - {WINDOW}), least(s, {WINDOW})) as before, substr(t, s + length(v) + 1, {WINDOW}) as after from (
-    select {key}, t, {value} as v, ({skip} + list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::int as s from (
-      select *, unnest(range(1, len(m) + 1)) as i from (
-        select {key}, {text} as t, regexp_extract_all({text}, {re_}) as m, string_split_regex({text}, {re_}) as g{groups} from {table} where regexp_matches({text}, {re_}))))))
+select key as {key}, '{n}' as pattern_name, '{p.confidence}' as confidence, '{p.category}' as category, s as start_cp, (s + length(v))::int as end_cp,
+  strlen(before) as byte_start, strlen(before) + strlen(v) as byte_end, v as matched_text
+from (select *, regexp_extract(before, '[A-Za-z0-9.+=\\-]*$') as l, regexp_extract(after, '^[A-Za-z0-9.+=\\-]*') as r from {rows})
 where {RULES.get(n, 'true')}""")
-    return "\nunion all\n".join(parts)
+    return f"with seen as materialized (select {key} as key, {text} as t, {seen(text)} as u from {table} where {text} is not null)\n" + "\nunion all\n".join(parts)
 
 
-def _extraction(table: str, group: str, sql: bool = True):
+def _extraction(table: str, name: str, names: list[str]):
     key, text = TEXTS[table]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return findings(spread(read_table(spark, sf_dir, table), key), [key], text, GROUPS[group])
+        return findings(spread(read_table(spark, sf_dir, table), key), [key], text, names)
 
-    QUERIES[f"s24_{group}_{table}"] = run
-    if sql:
-        SQL[f"s24_{group}_{table}"] = extraction_sql(table, GROUPS[group])
+    QUERIES[f"s24_{name}_{table}"] = run
+    SQL[f"s24_{name}_{table}"] = extraction_sql(table, names)
 
 
 for _t in TEXTS:
-    _extraction(_t, "contact")
-    _extraction(_t, "time_of_day")
+    _extraction(_t, "all", EVERY)
+    _extraction(_t, "contact", GROUPS["contact"])
+    _extraction(_t, "time_of_day", GROUPS["time_of_day"])
 for _g, _t in [("identity", "training_examples"), ("identity", "challenge"), ("network", "label_sessions"), ("social", "label_sessions"), ("social", "challenge"), ("financial", "label_sessions")]:
-    _extraction(_t, _g)
-# Every other group on every other table; checksums, masks and credential rules have no SQL.
-for _t in TEXTS:
-    for _g in GROUPS:
-        if f"s24_{_g}_{_t}" not in QUERIES:
-            _extraction(_t, _g, sql=False)
+    _extraction(_t, _g, GROUPS[_g])
 
 
 # ------------------------------------------------------------------ every pattern on given lines
@@ -127,7 +169,7 @@ SAMPLES = [
     (5, "Telefon: 05231 / 12 34 567", [("phone_labelled", "05231 / 12 34 567")]),
     (6, "abroad +49 192 836 418 please", [("phone_intl", "+49 192 836 418")]),
     (7, "ssn 123-45-6789 given", [("ssn", "123-45-6789")]),
-    (8, "id 987654321 given", [("ssn_nodash", "987654321")]),
+    (8, "id 987654321 given", [("ssn_nodash", "987654321"), ("eu_id", "id 987654321")]),
     (9, "card 4111-1111-1111-1111 on file", [("credit_card", "4111-1111-1111-1111")]),
     (10, "host 8.8.4.4 but not 10.1.2.3 or 192.168.0.7", [("ipv4", "8.8.4.4")]),
     (11, "v6 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", [("ipv6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334")]),
@@ -154,18 +196,14 @@ SAMPLES = [
     (32, "at 40.7128,-74.0060 now", [("geocoord", "40.7128,-74.0060")]),
     (33, "cf RSSMRA85M01H501U ok", [("it_cf", "RSSMRA85M01H501U")]),
     (34, "nir 1 85 12 75 108 108 42 ok", [("fr_nir", "1 85 12 75 108 108 42")]),
-    (35, "Lic-12345678901 x", [("drivers_license", "Lic-12345678901"), ("phone_us", "12345678901")]),
+    (35, "Lic-12345678901 x", [("drivers_license", "Lic-12345678901"), ("phone_us", "12345678901"), ("eu_id", "Lic-12345678901")]),
     (36, "-----BEGIN PRIVATE KEY-----\nAA\n-----END PRIVATE KEY-----", [("private_key", "-----BEGIN PRIVATE KEY-----\nAA\n-----END PRIVATE KEY-----")]),
     (37, "", []),
 ]
-#: Patterns whose loose forms also hit other lines; they are left out of the lines' check.
-LOOSE = ["eu_id", "drivers_license", "passport_us", "es_dni", "uk_nino", "credit_card_nodash", "api_key"]
-
-
-@query("select * from (values " + ", ".join(f"({n}, {quoted(k)}, {quoted(v)})" for n, _, fs in SAMPLES for k, v in fs if v and k not in LOOSE) + ") as t(line, pattern_name, matched_text)")
+@query("select * from (values " + ", ".join(f"({n}, {quoted(k)}, {quoted(v)})" for n, _, fs in SAMPLES for k, v in fs) + ") as t(line, pattern_name, matched_text)")
 def s24_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.createDataFrame([(n, t) for n, t, _ in SAMPLES], "line int, text string")
-    return findings(lines, ["line"], "text", [p.name for p in P.ALL if p.name not in LOOSE]).select("line", "pattern_name", "matched_text")
+    return findings(lines, ["line"], "text", EVERY).select("line", "pattern_name", "matched_text")
 
 
 # ------------------------------------------------------------------ dimension, selection, rulesets
@@ -186,15 +224,15 @@ def filter_p3_rulesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ruleset_table(spark)
 
 
-@query(f"select pattern_name, count(*) as n from ({extraction_sql('training_examples', GROUPS['identity'] + GROUPS['contact'])}) where pattern_name in ({', '.join(quoted(n) for n in R.RULESETS['identity'])}) group by 1")
+@query(f"select pattern_name, count(*) as n from ({extraction_sql('training_examples', EVERY)}) where pattern_name in ('email', 'phone_us', 'phone_intl', 'ssn', 'ssn_nodash', 'passport_us', 'drivers_license', 'date') group by 1")
 def filter_p2_ruleset_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [n for n in R.resolve(cli=None, ruleset="identity", config=None) if n in GROUPS["identity"] + GROUPS["contact"]]
+    names = R.resolve(cli=None, ruleset="identity", config=None)
     return findings(spread(read_table(spark, sf_dir, "training_examples"), "example_id"), ["example_id"], "text", names).groupBy("pattern_name").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ summaries
 
-_SUMMARY_NAMES = ["email", "phone_us", "phone_intl", "ssn", "date"]
+_SUMMARY_NAMES = EVERY
 
 
 @query(f"""select lang, pattern_name, category, count(*) as n from (select f.*, d.lang from ({extraction_sql('documents', _SUMMARY_NAMES)}) f join documents d using (doc_id))
@@ -207,7 +245,7 @@ def a1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select pattern_name, sum(n)::bigint as n from (select doc_id, pattern_name, count(*) as n from ({extraction_sql('documents', _SUMMARY_NAMES)}) group by 1, 2) group by 1")
 def a2_merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = findings(spread(read_table(spark, sf_dir, "documents"), "doc_id"), ["doc_id"], "text", _SUMMARY_NAMES).groupBy("doc_id", "pattern_name").agg(F.count("*").alias("n"))
-    return per.groupBy("pattern_name").agg(F.sum("n").alias("n"))
+    return merged(per, ["pattern_name"])
 
 
 @query(f"""select pattern_name, min(o) as first_seen from (select pattern_name, row_number() over (order by doc_id, start_cp, end_cp desc, pattern_name) as o from ({extraction_sql('documents', _SUMMARY_NAMES)})

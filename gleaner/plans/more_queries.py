@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleaner.functions import patterns as P
 from gleaner.operators import buffers as B, literals as L, sessions as S
 from gleaner.session import read_table
 
+from .detect import WORDS
 from .session_queries import _TREE, _leaves
 from .span_queries import ANN, _GOLD, annotated, gold
 
@@ -24,69 +26,63 @@ def query(sql: str | None = None):
     return put
 
 
-_LITS = "(select distinct lower(a.value) as literal from (select unnest(annotations) as a from training_examples) where a.entity_type in ('email', 'person') and length(a.value) >= 5 and regexp_matches(a.value, '^[\\x21-\\x7e][\\x20-\\x7e]*$'))"
+#: Small letters, code point by code point, so that offsets stay.
+_LOW = "array_to_string(list_transform(range(1, length({0}) + 1), lambda i: case when length(lower(substr({0}, i, 1))) = 1 then lower(substr({0}, i, 1)) else substr({0}, i, 1) end), '')"
+_LITS = "(select distinct case when length(lower(a.value)) = length(a.value) then lower(a.value) else a.value end as literal from (select unnest(annotations) as a from training_examples) where a.entity_type in ('email', 'person') and length(a.value) >= 5)"
+_HITS = f"""(select text, literal, unnest(list_filter(range(1, length(text) - length(literal) + 2), lambda i: substr(low, i, length(literal)) = key)) as i from (
+select text, {_LOW.format('text')} as low from (select distinct text from challenge where text is not null)) join (select literal, {_LOW.format('literal')} as key from {_LITS}) on contains(low, key))"""
 
 
-def _literals(spark: SparkSession, sf_dir: str, anywhere: bool, whole: bool = False) -> DataFrame:
+def _literals(spark: SparkSession, sf_dir: str, anywhere: bool) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a")).filter("a.entity_type in ('email', 'person') and length(a.value) >= 5")
     low = F.lower("a.value")
-    v = a.select(F.when(F.length(low) == F.length("a.value"), low).otherwise(F.col("a.value")).alias("literal")).distinct().withColumn("anywhere", F.lit(anywhere))
-    return v if whole else v.filter(F.col("literal").rlike(r"^[\x21-\x7e][\x20-\x7e]*$"))
+    return a.select(F.when(F.length(low) == F.length("a.value"), low).otherwise(F.col("a.value")).alias("literal")).distinct().withColumn("anywhere", F.lit(anywhere))
 
 
-@query(f"select text, literal, count(*) as n from (select text, literal, unnest(list_filter(range(1, length(text) - length(literal) + 2), lambda i: substr(lower(text), i, length(literal)) = literal)) from (select distinct text from challenge where text is not null and length(lower(text)) = length(text)) join {_LITS} on contains(lower(text), literal)) group by 1, 2")
+@query(f"select text, literal, count(*) as n from {_HITS} group by 1, 2")
 def x1_all_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "challenge").filter("text is not null and length(lower(text)) = length(text)")
-    return L.matches(c, "text", _literals(spark, sf_dir, True)).groupBy("text", "literal").agg(F.count("*").alias("n"))
+    return L.matches(read_table(spark, sf_dir, "challenge"), "text", _literals(spark, sf_dir, True)).groupBy("text", "literal").agg(F.count("*").alias("n"))
 
 
-@query()
-def x2_longest_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.matches(read_table(spark, sf_dir, "challenge"), "text", _literals(spark, sf_dir, False), longest=True)
+_WORDY = "regexp_matches({0}, '[\\p{{L}}\\p{{N}}]')"
+_EDGED = f"""(select text, literal, i - 1 as s, i - 1 + length(literal) as e from {_HITS}
+where (not {_WORDY.format('substr(text, i, 1)')} or not regexp_matches(substr(text, i - 1, case when i > 1 then 1 else 0 end), '[\\p{{L}}\\p{{N}}_]') or (i > 2 and substr(text, i - 2, 2) = '\\n'))
+and (not {_WORDY.format('substr(text, i + length(literal) - 1, 1)')} or not regexp_matches(substr(text, i + length(literal), 1), '[\\p{{L}}\\p{{N}}_]')))"""
 
 
-@query()
-def x1_all_literals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "challenge")
-    return L.matches(c, "text", _literals(spark, sf_dir, True, whole=True)).groupBy("text", "literal").agg(F.count("*").alias("n"))
+@query(f"""with recursive h as materialized (select *, row_number() over (partition by text order by s, e desc) as k from {_EDGED}),
+g(text, k, last, taken) as (select text, 1::bigint, e, true from h where k = 1 union all select h.text, h.k, case when h.s >= g.last then h.e else g.last end, h.s >= g.last from g join h on h.text = g.text and h.k = g.k + 1)
+select text, s as start_cp, e as end_cp, literal from g join h using (text, k) where taken""")
+def x2_longest_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.matches(read_table(spark, sf_dir, "challenge"), "text", _literals(spark, sf_dir, False), longest=True)
 
 
-@query()
-def x2_longest_literals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.matches(read_table(spark, sf_dir, "challenge"), "text", _literals(spark, sf_dir, False, whole=True), longest=True)
+_SP = P.to_re2(r"\s")
+_SPI = P.to_re2(r"[\s]")[1:-1]
+_FORMS = f"""select row_id, line_no, case when regexp_matches(line, '^[{_SPI.replace(chr(92) + 'x{0b}', '').replace(chr(92) + 's', chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r ')}]*$') then 'empty' when regexp_matches(line, '^{_SP}*(#+{_SP}|=+{_SP}*$|-+{_SP}*$)') then 'heading'
+when regexp_matches(line, '^{_SP}*[{WORDS}.-]+{_SP}*[:=]{_SP}*[^{_SPI}]') then 'key_value' else 'prose' end as form, line
+from (select row_id, i as line_no, l[i] as line from (select row_id, l, unnest(range(1, len(l) + 1)) as i from (select row_id, string_split(replace(_text, chr(13), ''), chr(10)) as l from label_sessions where _text is not null)))"""
 
 
-@query("select row_id, line_no, case when trim(line, ' ' || chr(9) || chr(13)) = '' then 'empty' when regexp_matches(line, '^\\s*(#+\\s|=+\\s*$|-+\\s*$)') then 'heading' when regexp_matches(line, '^\\s*[A-Za-z0-9_.-]+\\s*[:=]\\s*\\S') then 'key_value' else 'prose' end as form from (select row_id, i as line_no, l[i] as line from (select row_id, l, unnest(range(1, len(l) + 1)) as i from (select row_id, string_split(replace(_text, chr(13), ''), chr(10)) as l from label_sessions where _text is not null and not regexp_matches(_text, '[^\\x00-\\x7f]'))))")
+@query(f"select row_id, line_no, form from ({_FORMS})")
 def f22_line_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("row_id", "line_no", B.line_form(F.col("line")).alias("form"))
 
 
-@query()
-def f22_line_forms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, whole=True).select("row_id", "line_no", B.line_form(F.col("line")).alias("form"))
-
-
-def _lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_table(spark, sf_dir, "label_sessions").filter("_text is not null")
-    t = t if whole else t.filter(~F.col("_text").rlike(r"[^\x00-\x7f]"))
     return t.select("row_id", F.posexplode(F.split(F.regexp_replace("_text", "\r", ""), "\n")).alias("_i", "line")).withColumn("line_no", F.col("_i") + 1)
 
 
-_FORMS = SQL["f22_line_forms"].replace("as form from", "as form, line from")
-
-
 @query(f"""with f as ({_FORMS}), g as (select *, coalesce(form <> 'prose' or lag(form) over w <> 'prose' or lag(regexp_matches(line, '[.!?]\\s*$')) over w, true) as flush from f window w as (partition by row_id order by line_no)),
-u as (select *, sum(flush::int) over (partition by row_id order by line_no rows unbounded preceding)::int as unit from g)
+b as (select *, sum(flush::int) over (partition by row_id order by line_no rows unbounded preceding)::int as b from g),
+k as (select *, (row_number() over (partition by row_id, b order by line_no) - 1) % {B.MAX_LINES} = 0 and form <> 'empty' as k from b),
+u as (select *, sum(k::int) over (partition by row_id order by line_no rows unbounded preceding)::int as unit from k)
 select row_id, unit, string_agg(trim(line), ' ' order by line_no) as text from u where form <> 'empty' group by 1, 2""")
 def w7_sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.sentence_units(_lines(spark, sf_dir), "row_id", "line_no", "line")
 
 
-@query()
-def w7_sentence_units_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.sentence_units(_lines(spark, sf_dir, whole=True), "row_id", "line_no", "line")
-
-
 @query("select session, row_id, tier from (select *, row_number() over (partition by session order by tier, sha256('t' || row_id)) as r from (select session, row_id, case when n_spans >= 3 then 0 when nym_prediction = 'sensitive' then 1 else 2 end as tier from label_sessions)) where r <= 4")
 def w9_tiered_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read_table(spark, sf_dir, "label_sessions")

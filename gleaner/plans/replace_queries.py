@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleaner.functions import patterns as P, replacements as R
 from gleaner.operators import replace as X
 from gleaner.operators.extract import findings
+from gleaner.operators.skew import running
 from gleaner.session import read_table, spread
 
 from .detect import extraction_sql, quoted
@@ -14,7 +15,7 @@ from .detect import extraction_sql, quoted
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 KEY = b"a key for tests only"
-NAMES = ["email", "phone_us", "phone_intl", "ssn"]
+NAMES = [p.name for p in P.ALL]
 
 
 def query(sql: str | None = None):
@@ -27,8 +28,12 @@ def query(sql: str | None = None):
     return put
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "challenge"), "id")
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spread(read_table(spark, sf_dir, "challenge"), "id"), ["id"], "text", NAMES)
+    return findings(_texts(spark, sf_dir), ["id"], "text", NAMES)
 
 
 _LABEL = "case pattern_name " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in P.LABELS.items()) + " else '<PII>' end"
@@ -104,11 +109,8 @@ def f20_class_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select session, printf('f%05d.jsonl', (row_number() over (order by session))::int) as file from trace_sessions")
 def f21_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # one row a session: a small table of headers
-    s = read_table(spark, sf_dir, "trace_sessions").withColumn("n", F.row_number().over(Window.orderBy("session")))
-    return s.select("session", R.opaque_file_name(F.col("n"), "jsonl").alias("file"))
+    s = running(read_table(spark, sf_dir, "trace_sessions").select("session"), [F.col("session")])
+    return s.select("session", R.opaque_file_name(F.col("ordinal"), "jsonl").alias("file"))
 
 
 @query("select record_id, start_cp, case when n <= 4 then '1-4' when n <= 8 then '5-8' when n <= 16 then '9-16' when n <= 32 then '17-32' else '33+' end as bin from (select record_id, e.start_cp as start_cp, e.end_cp - e.start_cp as n from (select record_id, unnest(entities) as e from gold_ner))")
@@ -130,19 +132,19 @@ def r2_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_text_sql(_LABEL))
 def r1_placeholder_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.anonymized(read_table(spark, sf_dir, "challenge"), _found(spark, sf_dir), "id", "text", "placeholder")
+    return X.anonymized(_texts(spark, sf_dir), "id", "text", "placeholder", names=NAMES)
 
 
 @query(_text_sql(_MASK))
 def r1_masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.anonymized(read_table(spark, sf_dir, "challenge"), _found(spark, sf_dir), "id", "text", "mask")
+    return X.anonymized(_texts(spark, sf_dir), "id", "text", "mask", names=NAMES)
 
 
 @query(_text_sql("regexp_replace(label, '>$', '_') || number || '>'", f""",
 l as (select *, {_LABEL} as label from c), d as (select id, label, matched_text, row_number() over (partition by id, label order by min(start_cp), matched_text) as number from l group by 1, 2, 3),
 z as (select l.*, number from l join d using (id, label, matched_text))""", "z"))
 def r3_numbered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.anonymized(read_table(spark, sf_dir, "challenge"), _found(spark, sf_dir), "id", "text", "numbered")
+    return X.anonymized(_texts(spark, sf_dir), "id", "text", "numbered", names=NAMES)
 
 
 _MAP = f"(select matched_text as original, arg_min({_CORPUS}, (id, start_cp, pattern_name)) as replacement, arg_min(pattern_name, (id, start_cp, pattern_name)) as pattern_name from {FOUND} group by 1)"
@@ -188,19 +190,18 @@ def f10_unique_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.unique_aliases(c, ["c_mktsegment"], "c_name", "base")
 
 
-@query("select id, text as restored from challenge where text is not null")
+@query("select id, text as restored from challenge")
 def r7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "challenge")
     f = _found(spark, sf_dir)
-    gone = X.anonymized(c, f, "id", "text", "corpus", KEY)
+    gone = X.anonymized(_texts(spark, sf_dir), "id", "text", "corpus", KEY, NAMES)
     keys = f.select(F.col("matched_text").alias("original"), R.corpus_placeholder(F.col("pattern_name"), F.col("matched_text"), KEY).alias("replacement")).distinct()
-    return X.restored(gone.filter("anonymized is not null"), keys, "id", "anonymized")
+    return X.restored(gone, keys, "id", "anonymized")
 
 
 @query(f"with {GREEDY} select id, 'full' as kind, count(*) as n from c group by 1")
 def r8_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _found(spark, sf_dir)
-    gone = X.anonymized(read_table(spark, sf_dir, "challenge"), f, "id", "text", "corpus", KEY)
+    gone = X.anonymized(_texts(spark, sf_dir), "id", "text", "corpus", KEY, NAMES)
     keys = f.select(R.corpus_placeholder(F.col("pattern_name"), F.col("matched_text"), KEY).alias("replacement")).distinct()
     return X.residuals(gone, keys, "id", "anonymized").filter("kind = 'full'")
 

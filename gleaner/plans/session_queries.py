@@ -8,7 +8,9 @@ from gleaner.operators import sessions as S, units as U
 from gleaner.operators.extract import findings
 from gleaner.session import read_table
 
-from .detect import extraction_sql, quoted
+from gleaner.functions import patterns as P
+
+from .detect import extraction_sql, quoted, seen
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -112,14 +114,14 @@ def filter_p9_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).filter(S.plausible(F.col("pattern_name"), F.col("matched_text"))).groupBy("pattern_name").agg(F.count("*").alias("n"))
 
 
-_EDGE = "[\\s;,:!?.\"''`|()\\[\\]{}<>=]"
-_AV = "(select distinct a.value as v from (select unnest(annotations) as a from training_examples) where a.value is not null and regexp_matches(a.value, '^[\\x00-\\x7f]*$'))"
+_SPACE = P.to_re2(r"[\s]")[1:-1]
+_EDGE = "[" + _SPACE + ";,:!?.\"''`|()\\[\\]{}<>=]"
+_AV = "(select distinct a.value as v from (select unnest(annotations) as a from training_examples) where a.value is not null)"
 
 
-def _values(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a"))
-    v = t.select(F.col("a.value").alias("v")).filter("v is not null").distinct()
-    return v if whole else v.filter(F.col("v").rlike(r"^[\x00-\x7f]*$"))
+    return t.select(F.col("a.value").alias("v")).filter("v is not null").distinct()
 
 
 @query(f"select v, length(regexp_extract(v, '^{_EDGE}*')) as skipped, regexp_replace(v, '^{_EDGE}+|{_EDGE}+$', '', 'g') as trimmed from {_AV}")
@@ -128,12 +130,6 @@ def filter_p15_trimmed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, sf_dir).select("v", lead.alias("skipped"), value.alias("trimmed"))
 
 
-@query()
-def filter_p15_trimmed_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lead, value = S.trimmed(F.col("v"))
-    return _values(spark, sf_dir, whole=True).select("v", lead.alias("skipped"), value.alias("trimmed"))
-
-
 @query("select cwd, regexp_extract(regexp_extract(cwd, '^/home/[^/]+'), '[^/]+$') as account from trace_sessions where cwd is not null")
 def filter_p16_home_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "trace_sessions").filter("cwd is not null")
@@ -175,29 +171,16 @@ def j3_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.allowed(read_table(spark, sf_dir, "label_sessions").filter("role is not null").select("role").distinct(), "role", words)
 
 
-@query(f"select row_id, least(12, {' + '.join(f'case when regexp_matches(_text, {quoted(p)}) then {w} else 0 end' for p, w in S.SIGNALS)}) as score from label_sessions where _text is not null and regexp_matches(_text, '^[\\x00-\\x7f]*$')")
+@query(f"select row_id, least(12, {' + '.join(f'case when regexp_matches(u, {quoted(p)}) then {w} else 0 end' for p, w in S.SIGNALS)}) as score from (select row_id, {seen('_text')} as u from label_sessions where _text is not null)")
 def filter_p21_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read_table(spark, sf_dir, "label_sessions").filter("_text is not null").filter(F.col("_text").rlike(r"^[\x00-\x7f]*$"))
+    t = read_table(spark, sf_dir, "label_sessions").filter("_text is not null")
     return t.select("row_id", S.interest(F.col("_text")).alias("score"))
 
 
-@query()
-def filter_p21_interest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "label_sessions").filter("_text is not null").select("row_id", S.interest(F.col("_text")).alias("score"))
-
-
-@query("select line, count(*) as n from (select lower(split_part(regexp_extract(trim(line), '^[^\\s]+'), '/', 1)) as line, line as raw from (select unnest(string_split(_text, chr(10))) as line from label_sessions)) where raw not like '#%' and length(line) >= 2 and not regexp_matches(raw, '[^\\x00-\\x7f]') group by 1")
+@query(f"select line, count(*) as n from (select lower(split_part(regexp_extract(trim(line), '^[{P.BLANKS}]*([^{_SPACE}]+)', 1), '/', 1)) as line, line as raw from (select unnest(string_split(_text, chr(10))) as line from label_sessions)) where raw not like '#%' and length(line) >= 2 group by 1")
 def s12_word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.sources.lists import words
 
-    lines = read_table(spark, sf_dir, "label_sessions").select(F.explode(F.split("_text", "\n")).alias("value")).filter(~F.col("value").rlike(r"[^\x00-\x7f]"))
-    return words(lines).groupBy(F.col("word").alias("line")).agg(F.count("*").alias("n"))
-
-
-@query()
-def s12_word_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleaner.sources.lists import words
-
     lines = read_table(spark, sf_dir, "label_sessions").select(F.explode(F.split("_text", "\n")).alias("value"))
     return words(lines).groupBy(F.col("word").alias("line")).agg(F.count("*").alias("n"))
 

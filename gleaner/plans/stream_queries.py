@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleaner.session import ensure_checkpoint_dir, read_table
 from gleaner.streaming import text as T
 
+from gleaner.functions import patterns as P
+
 from .detect import extraction_sql
+from .more_queries import SQL as _MORE
+from .replace_queries import _CORPUS, _text_sql
 
+_JSON_SQL = "select event_id, props, props as anonymized from events where props is not null and trim(props) <> ''"
+SQL_W7 = _MORE["w7_sentence_units"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-NAMES = ["email", "phone_us", "phone_intl", "ssn"]
+NAMES = [p.name for p in P.ALL]
+KEY = b"a key for tests only"
 
 
 def query(sql: str | None = None):
@@ -54,17 +61,44 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
 
 @query(f"select text, pattern_name, matched_text from ({extraction_sql('challenge', NAMES)}) join challenge using (id)")
 def t3_detect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(T.detected(_stream(spark, sf_dir, "challenge"), "text", NAMES), "append")
+    return _drained(T.detected(_stream(spark, sf_dir, "challenge"), "text"), "append")
 
 
 @query(f"select pattern_name, count(*) as n from ({extraction_sql('challenge', NAMES)}) group by 1")
 def t3_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(T.counted(_stream(spark, sf_dir, "challenge"), "text", NAMES), "complete")
+    return _drained(T.counted(_stream(spark, sf_dir, "challenge"), "text"), "complete")
 
 
-@query()
+@query(_text_sql(_CORPUS).replace("select id, coalesce", "select id, text, coalesce"))
 def t1_anonymized_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(T.anonymized(_stream(spark, sf_dir, "challenge").select("id", "text"), "text", NAMES, b"a key for tests only"), "append")
+    return _drained(T.anonymized(_stream(spark, sf_dir, "challenge").select("id", "text"), "text", KEY), "append")
+
+
+def _mapped(spark: SparkSession) -> None:
+    spark.conf.set(*T.STORE)
+
+
+@query("select session, value, row_number() over (partition by session order by f, value) as number from (select session, nym_prediction as value, min(row_id) as f from label_sessions where nym_prediction is not null group by 1, 2)".replace("row_number() over (partition by session order by f, value)", "count(*) over (partition by session)"))
+def t1_numbered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers given out a session: as many as distinct values, whatever the order of arrival."""
+    _mapped(spark)
+    values = _stream(spark, sf_dir, "label_sessions").select("session", F.col("nym_prediction").alias("value"))
+    out = _drained(T.numbered(values), "append")
+    return out.join(out.groupBy("session").agg(F.max("number").alias("_m")), "session").select("session", "value", F.col("_m").cast("long").alias("number")).distinct()
+
+
+@query(_JSON_SQL)
+def t2_json_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(T.json_lines(_stream(spark, sf_dir, "events").select("event_id", "props"), "props", KEY), "append")
+
+
+@query(SQL_W7)
+def t4_sentence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _mapped(spark)
+    t = _stream(spark, sf_dir, "label_sessions").filter("_text is not null")
+    lines = t.select("row_id", F.posexplode(F.split(F.regexp_replace("_text", "\r", ""), "\n")).alias("line_no", "line"), F.size(F.split("_text", "\n")).alias("_n"))
+    units = T.sentence_units(lines.withColumn("last", F.col("line_no") + 1 == F.col("_n")), "row_id", "line_no", "line", "last")
+    return _drained(units, "append").withColumnRenamed("key", "row_id")
 
 
 @query("select event_type, count(*) as n from events group by 1")

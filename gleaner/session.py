@@ -23,14 +23,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset.
+    """Use the folder named in ``spark.checkpoint.dir``; a temporary one only in a local session that names none.
 
-    A cluster names a shared folder in that setting.  The temporary folder serves
-    local tests only, where driver and executors are one process.
+    In a local session driver and executors are one process.  On a cluster a missing setting is an error,
+    as a machine's own folder is lost with it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleaner-"))
 
 
 def cut_lineage(df: DataFrame, fresh: bool = False) -> DataFrame:

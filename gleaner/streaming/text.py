@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Iterator
 
-from gleaner.functions import replacements as R
-from gleaner.operators.extract import SPANS, keep, spans_of
-from gleaner.functions import patterns as P
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from gleaner.operators.buffers import MAX_LINES, line_form
+from gleaner.operators.extract import spans
+from gleaner.operators.replace import anonymized_text, json_anonymized
+
+#: State of this kind is kept in changed entries, not rewritten whole.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def lines(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
@@ -15,63 +20,113 @@ def lines(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame
     return spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder)
 
 
-def detected(stream: DataFrame, text: str, names: list[str]) -> DataFrame:
+def detected(stream: DataFrame, text: str, names: list[str] | None = None) -> DataFrame:
     """(text, pattern_name, matched_text): findings of each line; stateless."""
-    every = F.concat(*(F.coalesce(spans_of(F.col(text), P.BY_NAME[n]), F.expr(f"cast(array() as {SPANS})")) for n in names))
-    return stream.select(text, F.explode(every).alias("f")).filter(keep(F.col("f"))).select(text, "f.pattern_name", "f.matched_text")
+    return stream.select(text, F.explode(spans(text, names)).alias("f")).select(text, "f.pattern_name", "f.matched_text")
 
 
-def counted(stream: DataFrame, text: str, names: list[str]) -> DataFrame:
+def counted(stream: DataFrame, text: str, names: list[str] | None = None) -> DataFrame:
     """Running counts by pattern, for complete or update mode."""
     return detected(stream, text, names).groupBy("pattern_name").agg(F.count("*").alias("n"))
 
 
-def anonymized(stream: DataFrame, text: str, names: list[str], secret: bytes) -> DataFrame:
+def anonymized(stream: DataFrame, text: str, secret: bytes, names: list[str] | None = None) -> DataFrame:
     """Every line with its findings replaced by keyed placeholders; stateless, so equal values agree everywhere without order."""
-    from gleaner.operators.replace import rendered
+    return anonymized_text(stream, text, "corpus", secret, names)
 
-    every = F.concat(*(F.coalesce(spans_of(F.col(text), P.BY_NAME[n]), F.expr(f"cast(array() as {SPANS})")) for n in names))
-    kept = F.array_sort(F.transform(F.filter(every, lambda f: keep(f)), lambda f: F.struct(f["start_cp"].alias("s"), (-f["end_cp"]).alias("ne"), f["pattern_name"].alias("p"), f["matched_text"].alias("v"))))
-    kind = "array<struct<start_cp:int,end_cp:int,replacement:string>>"
-    one = lambda x: F.struct(x["s"].alias("start_cp"), (-x["ne"]).alias("end_cp"), R.corpus_placeholder(x["p"], x["v"], secret).alias("replacement"))
-    start = F.struct(F.lit(-1).alias("last"), F.expr(f"cast(array() as {kind})").alias("out"))
-    step = lambda a, x: F.when(x["s"] >= a["last"], F.struct((-x["ne"]).alias("last"), F.concat(a["out"], F.array(one(x))).alias("out"))).otherwise(a)
-    spans = F.aggregate(kept, start, step)["out"]
-    return stream.withColumn("anonymized", rendered(F.col(text), spans))
 
+def json_lines(stream: DataFrame, text: str, secret: bytes, names: list[str] | None = None) -> DataFrame:
+    """JSON lines without blank ones, one compact record a line, values anonymized.
 
-def json_checked(stream: DataFrame, text: str) -> DataFrame:
-    """JSON lines without blank ones; a record that is no JSON ends the query without showing it."""
+    A record that is no JSON ends the query without showing its text.
+    """
     good = F.assert_true(F.try_parse_json(text).isNotNull(), F.lit("a record is not valid JSON")).isNull()
-    return stream.filter(F.trim(text) != "").filter(good)
-
-
-_STATE = T.StructType([T.StructField("ids", T.StringType())])
-_OUT = T.StructType([T.StructField("session", T.StringType()), T.StructField("value", T.StringType()), T.StructField("number", T.IntegerType())])
+    return json_anonymized(stream.filter(F.trim(text) != "").filter(good), text, "corpus", secret, names, compact=True)
+
+
+class _Numbers(StatefulProcessor):
+    """Numbers of one session's values: one entry of the state a value, and the last number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.numbers = handle.getMapState("numbers", "value string", "number int")
+        self.last = handle.getValueState("last", "number int")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.last.get()
+        last = first = before[0] if before else 0
+        fresh: dict[str, int] = {}
+        for r in rows:
+            v = r["value"]
+            if v is None:
+                continue
+            n = fresh.get(v)
+            if n is None:
+                if self.numbers.containsKey((v,)):
+                    n = self.numbers.getValue((v,))[0]
+                else:
+                    n = last = last + 1
+                    self.numbers.updateValue((v,), (n,))
+                fresh[v] = n
+            yield Row(session=key[0], value=v, number=n)
+        if last != first:
+            self.last.update((last,))
+
+    def close(self) -> None:
+        pass
 
 
 def numbered(values: DataFrame) -> DataFrame:
     """(session, value, number): values numbered by first arrival within their session, in state kept by session.
 
-    State ends a day after a session's last row.  A session's values are the size of its state.
+    The state is a map, so a batch writes the new values only.  Null values are left out.  Needs the state store of STORE.
+    """
+    return values.groupBy("session").transformWithState(_Numbers(), "session string, value string, number int", "append", "None")
+
+
+class _Sentences(StatefulProcessor):
+    """The open sentence of one source: its lines so far, and the number of the last unit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getListState("open", "line string")
+        self.unit = handle.getValueState("unit", "number int")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = [r[0] for r in self.open.get()]
+        at = self.unit.get()
+        unit = at[0] if at else 0
+        # the lines of one source that arrive together; their order is the source's
+        for r in sorted(rows, key=lambda r: r["line_no"]):
+            prose = r["form"] == "prose"
+            if held and not prose:
+                unit += 1
+                yield Row(key=key[0], unit=unit, text=" ".join(held))
+                held = []
+            if prose:
+                held.append(r["line"].strip(" "))
+                if not (r["ends"] or r["last"] or len(held) >= MAX_LINES):
+                    continue
+            elif r["form"] != "empty":
+                held = [r["line"].strip(" ")]
+            if held:
+                unit += 1
+                yield Row(key=key[0], unit=unit, text=" ".join(held))
+                held = []
+        self.unit.update((unit,))
+        self.open.put([(h,) for h in held])
+
+    def close(self) -> None:
+        pass
+
+
+def sentence_units(stream: DataFrame, key: str, order: str, line: str, last: str) -> DataFrame:
+    """T4: (key, unit, text): a stream's lines buffered into sentences for a recogniser.
+
+    The state of a source is its open sentence, at most MAX_LINES lines.  A line marked ``last`` closes its source.
+    Needs the state store of STORE.
     """
-    import json
-
-    def run(key, batches, state):
-        ids = json.loads(state.get[0]) if state.exists else {}
-        rows = []
-        for pdf in batches:
-            for v in pdf["value"]:
-                if v is not None:
-                    rows.append((key[0], v, ids.setdefault(v, len(ids) + 1)))
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            state.update((json.dumps(ids),))
-            state.setTimeoutDuration(86_400_000)
-        yield pd.DataFrame(rows, columns=_OUT.names)
-
-    return values.groupBy("session").applyInPandasWithState(run, _OUT, _STATE, "append", "ProcessingTimeTimeout")
+    d = stream.select(F.col(key).alias("key"), F.col(order).alias("line_no"), F.col(line).alias("line"), F.col(last).alias("last"), line_form(F.col(line)).alias("form"), F.col(line).rlike(r"[.!?]\s*$").alias("ends"))
+    kind = stream.schema[key].dataType.simpleString()
+    return d.groupBy("key").transformWithState(_Sentences(), f"key {kind}, unit int, text string", "append", "None")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:

@@ -167,13 +167,13 @@ def test_every_pattern_runs_over_every_text_table(spark, tmp_path):
 
 
 def test_contained_values_may_start_and_end_inside_words(spark, monkeypatch):
-    from gleaner.operators import corpus
+    from gleaner.operators import corpus, literals
 
     units = spark.createDataFrame([(1, "Dear Pavlinka Marisella"), (2, "pavlin"), (3, "x-Ann Lee, Ann Lee"), (4, None), (5, "")], "k int, t string")
     values = spark.createDataFrame([(v,) for v in ("Pavlin", "linka Mar", "Ann Lee", "sella", "absent", "", None)], "value string")
     want = {(1, "Pavlin"), (1, "linka Mar"), (1, "sella"), (3, "Ann Lee")}
     assert sorted(map(tuple, corpus.occurrences(units, values, "k", "t").collect())) == sorted(want)
-    monkeypatch.setattr(corpus, "LIST_ROWS", 2)
+    monkeypatch.setattr(literals, "LIST_ROWS", 2)
     assert sorted(map(tuple, corpus.occurrences(units, values, "k", "t").collect())) == sorted(want)
 
 
