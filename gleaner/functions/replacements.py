@@ -16,8 +16,10 @@ STRIPPED = ("áàâãéèêëíìîïóòôõúùûñç", "aaaaeeeeiiiioooouuunc
 
 def label(pattern: Column) -> Column:
     """the placeholder of a pattern."""
-    known = F.create_map(*(F.lit(x) for kv in P.LABELS.items() for x in kv))
-    return F.coalesce(F.try_element_at(known, pattern), F.lit(P.DEFAULT_LABEL))
+    out = F
+    for text in dict.fromkeys(P.LABELS.values()):
+        out = out.when(pattern.isin([n for n, t in P.LABELS.items() if t == text]), text)
+    return out.otherwise(P.DEFAULT_LABEL)
 
 
 def mask(value: Column) -> Column:

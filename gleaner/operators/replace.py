@@ -91,8 +91,8 @@ def json_anonymized(docs: DataFrame, text: str, strategy: str, secret: bytes = b
     """
     d = docs.withColumn("_l", string_leaves(F.col(text)))
     d = d.withColumn("_f", spans_of_each("_l", names))
-    values = F.transform("_l", lambda t, i: rendered(t, _replacements(selected(F.get("_f", i)), strategy, secret)))
-    return d.withColumn("anonymized", with_leaves(F.col(text), values, compact)).drop("_l", "_f")
+    replaced = F.transform("_f", lambda f: _replacements(selected(f), strategy, secret))
+    return d.withColumn("anonymized", with_leaves(F.col(text), replaced, compact)).drop("_l", "_f")
 
 
 def key_map(found: DataFrame, replacement: Column, order: list[str]) -> DataFrame:

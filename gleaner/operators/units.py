@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Characters of a text looked at to tell its format.
@@ -111,7 +112,11 @@ def string_values(record: str | None) -> list[str] | None:
 
 def string_leaves(record: Column) -> Column:
     """Column form of :func:`string_values`."""
-    return F.pandas_udf(lambda s: s.map(string_values), "array<string>")(record)
+
+    def run(records: pa.Array) -> pa.Array:
+        return pa.array(map(string_values, records.to_pylist()), pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(record)
 
 
 def _put(x, values: iter):
@@ -136,21 +141,34 @@ def _written(x, indent: int | None, level: int = 0) -> str:
     return open_ + gap + ("," + gap).join(items) + end + close
 
 
-def with_string_values(record: str | None, values: list[str] | None, compact: bool) -> str | None:
-    """A JSON record with its string values, in order, replaced by ``values``; a record none of whose values changes stays as it was written, if ``compact``."""
+def spliced(text: str, spans: list[dict]) -> str:
+    """``text`` with ordered, non-overlapping spans replaced."""
+    out, at = [], 0
+    for s in spans:
+        out += [text[at : s["start_cp"]], s["replacement"]]
+        at = s["end_cp"]
+    return "".join([*out, text[at:]])
+
+
+def with_string_values(record: str | None, replaced: list[list[dict]] | None, compact: bool) -> str | None:
+    """A JSON record with spans of its string values, in order, replaced; a compact one in which nothing is replaced stays as it was written."""
     old = string_values(record)
     if old is None:
         return None
-    values = list(values) if values is not None and old else []
-    if compact and values == old:
+    replaced = replaced or [[] for _ in old]
+    if compact and not any(replaced):
         return record
     x = json.loads(record, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
-    return _written(_put(x, iter(values)), None if compact else 2)
+    return _written(_put(x, iter([spliced(v, s) for v, s in zip(old, replaced)])), None if compact else 2)
+
+
+def with_leaves(record: Column, replaced: Column, compact: bool) -> Column:
+    """Column form of :func:`with_string_values`; ``replaced`` has (start_cp, end_cp, replacement) for each string value."""
 
+    def run(records: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array([with_string_values(a, b, compact) for a, b in zip(records.to_pylist(), lists.to_pylist())], pa.string())
 
-def with_leaves(record: Column, values: Column, compact: bool) -> Column:
-    """Column form of :func:`with_string_values`."""
-    return F.pandas_udf(lambda r, v: pd.Series([with_string_values(a, b, compact) for a, b in zip(r, v)], dtype=object), "string")(record, values)
+    return F.arrow_udf(run, "string")(record, replaced)
 
 
 _STEP = {"key": r"[^.\[\]]+", "any": r"(?:\.?[^.\[\]]+|\[[0-9]+\])"}

@@ -112,7 +112,10 @@ class _Sentences(StatefulProcessor):
                 yield Row(key=key[0], unit=unit, text=" ".join(held))
                 held = []
         self.unit.update((unit,))
-        self.open.put([(h,) for h in held])
+        if held:
+            self.open.put([(h,) for h in held])
+        else:
+            self.open.clear()
 
     def close(self) -> None:
         pass
