@@ -2,8 +2,8 @@
 
 Lexical-cohesion segmentation: at every gap between words the blocks of words before and
 after it are compared; valleys of that similarity mark topic boundaries.  Within each size
-window the piece ends at the deepest valley among the strongest pauses there, and the next
-piece starts the stated overlap before that end.
+window the piece ends at the deepest valley at which the text pauses (a sentence or line ends;
+if none does there, a word ends), and the next piece starts the stated overlap before that end.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Words in a block.
 BLOCK = 16
+#: Pauses from this strength on end a sentence, line or paragraph.
+SENTENCE = 2
 
 _UNIT = re.compile(r"\s*\S+\s*")
 _STOPS, _PAUSES, _JOINTS = frozenset(".!?…。।"), frozenset(",;:"), frozenset(",;:&|/\\)]}>\"'=+-_.")
@@ -81,9 +83,9 @@ def _spans(text: str, ends: list[int], strength: np.ndarray, depth: np.ndarray,
         for low in (max(start + cap // 2, least), least):
             i, j = bisect_right(ends, low), bisect_right(ends, limit)
             if i < j and (top := strength[i:j].max()) >= 0:
-                at = np.flatnonzero(strength[i:j] == top)
-                deepest = depth[i:j][at]
-                cut = ends[i + at[len(at) - 1 - int(deepest[::-1].argmax())]]  # ties: the last
+                at = np.flatnonzero(strength[i:j] >= min(top, SENTENCE))
+                # the deepest valley; of equally deep ones the stronger pause, then the last
+                cut = ends[i + at[np.lexsort((at, strength[i:j][at], depth[i:j][at]))[-1]]]
                 break
         if cut is None:
             cut = limit if text[limit - 1].isspace() and text[limit - 1 : limit + 1] != "\r\n" else _hard_cut(text, least, limit)
@@ -114,17 +116,23 @@ def split_spans(texts: list[str], cap: int, overlap: int) -> list[list[tuple[int
     return out
 
 
+_RUN = re.compile(r"[^ \t\r\n]+")
+
+
 def _span_udf(cap: int, overlap: int):
-    kind = T.ArrayType(T.StructType([T.StructField("start_cp", T.IntegerType()), T.StructField("end_cp", T.IntegerType())]))
+    span = T.ArrayType(T.StructType([T.StructField("start_cp", T.IntegerType()), T.StructField("end_cp", T.IntegerType())]))
+    kind = T.StructType([T.StructField("spans", span), T.StructField("longest", T.IntegerType())])
 
-    def spans(texts: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(texts), dtype=object)
+    def spans(texts: pd.Series) -> pd.DataFrame:
+        out, longest = pd.Series([None] * len(texts), dtype=object), np.zeros(len(texts), np.int32)
         there = np.flatnonzero(texts.notna())
         for at in range(0, len(there), 500):  # bounds memory
             rows = there[at : at + 500]
-            for i, s in zip(rows, split_spans([texts.iat[i] for i in rows], cap, overlap)):
+            own = [texts.iat[i] for i in rows]
+            for i, t, s in zip(rows, own, split_spans(own, cap, overlap)):
                 out.iat[i] = [{"start_cp": a, "end_cp": b} for a, b in s]
-        return out
+                longest[i] = max(map(len, _RUN.findall(t)), default=0)
+        return pd.DataFrame({"spans": out, "longest": longest})
 
     return F.pandas_udf(spans, kind)
 
@@ -132,11 +140,21 @@ def _span_udf(cap: int, overlap: int):
 def piece_spans(df: DataFrame, text: str, cap: int, overlap: int) -> DataFrame:
     """``df`` with ``spans`` (null unless the text is above ``cap`` code points) and ``no_boundary``.
 
-    ``no_boundary``: the text has more than ``cap`` consecutive code points without a pause.
+    ``no_boundary``: the splitter met more than ``cap`` consecutive code points without a pause.
     Only oversized texts reach Python; nothing is shuffled.
     """
-    big = F.length(text) > cap
-    return df.withColumn("spans", _span_udf(cap, overlap)(F.when(big, F.col(text)))).withColumn("no_boundary", F.coalesce(big & F.col(text).rlike(rf"[^ \t\r\n]{{{cap + 1}}}"), F.lit(False)))
+    d = df.withColumn("_p", _span_udf(cap, overlap)(F.when(F.length(text) > cap, F.col(text))))
+    return d.withColumn("spans", F.col("_p.spans")).withColumn("no_boundary", F.coalesce(F.col("_p.longest") > cap, F.lit(False))).drop("_p")
+
+
+def cut_kinds(pieces: DataFrame, text: str) -> DataFrame:
+    """(kind, n): how the pieces of :func:`split_oversized` end inside their texts: at a paragraph, line, sentence, word, or in a run."""
+    end = F.col(text)
+    kind = (
+        F.when(end.rlike(r"(?U)(\n[ \t\r]*){2}\s*$"), "paragraph").when(end.rlike(r"(?U)[\n\r]\s*$"), "line")
+        .when(end.rlike(r"(?U)[.!?…。।][\"')\]»”]?\s+$"), "sentence").when(end.rlike(r"(?U)\s$"), "word").otherwise("run")
+    )
+    return pieces.filter("piece_no < n_pieces - 1").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def split_oversized(df: DataFrame, key: str, text: str, index: str, cap: int, overlap: int) -> DataFrame:

@@ -7,7 +7,9 @@ component identifier is hashed into ranges proportional to the wanted split size
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from itertools import permutations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.operators.skew import hot_keys, salted_join
 from gleaner.session import cut_lineage
@@ -15,10 +17,8 @@ from gleaner.session import cut_lineage
 # Author ids (after settling the spelling) that name nobody.
 FILLERS = ["", "-", "--", "?", "??", ".", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown", "unk", "not known", "unnamed", "undefined", "anonymous", "anon", "nobody", "no-author", "tbd", "various", "n.n.", "xxx"]
 
-#: Hash ranges are cut on so many buckets.
-RANGE_BUCKETS = 65_536
-#: Components above this share of all records are placed one by one (at most 1 / BIG_SHARE of them).
-BIG_SHARE = 1 / 2000
+#: Hash ranges are cut on so many buckets, on the best of so many hash lines.
+RANGE_BUCKETS, SALTS = 4_096, 16
 
 
 def settled(c: Column) -> Column:
@@ -96,38 +96,43 @@ def record_groups(records: DataFrame, links: DataFrame) -> DataFrame:
 def group_splits(groups: DataFrame, shares: dict[str, float] | None = None, seed: int = 7) -> DataFrame:
     """(record_id, group_id, split) from ``groups(record_id, group_id)``: whole groups, sizes near ``shares``.
 
-    Groups above 1/2000 of all records (at most 2000 of them) go, largest first, to the split
-    that lacks most.  All others are hashed; the hash line is cut into one range a split,
-    in proportion to what the split still lacks, on sizes summed in 65536 hash buckets.  So
-    the same group always lands in the same split for the same data, shares and seed.
+    The group's identifier is hashed; the hash line is cut into one range a split, where the sizes summed in
+    RANGE_BUCKETS ranges reach the wanted shares.  A large group can't be cut, so SALTS hash lines are summed at
+    once, and the one whose cuts come nearest to the shares is used, with the splits in their best order on it.
+    The same group lands in the same split for the same data, shares and seed.  An empty input gives no rows.
     """
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
-    spark = groups.sparkSession
-    sizes = cut_lineage(groups.groupBy("group_id").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(RANGE_BUCKETS)).cast("int")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    big = sizes.filter(F.col("n") > max(total * BIG_SHARE, 1))
-    want = {s: w * total / sum(shares.values()) for s, w in shares.items()}
-    placed = []
-    for row in big.orderBy(F.desc("n"), "group_id").collect():  # at most 1 / BIG_SHARE rows
-        s = max(want, key=lambda k: want[k])
-        want[s] -= row.n
-        placed.append((row.group_id, s))
-    small = sizes.filter(F.col("n") <= max(total * BIG_SHARE, 1))
-    at, cuts, names = 0.0, [], list(shares)
-    lack = {s: max(0.0, w) for s, w in want.items()}
-    ends, acc = [], 0.0
-    for s in names:
-        acc += lack[s]
-        ends.append(acc)
-    k = 0
-    for row in small.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect():  # at most RANGE_BUCKETS rows of two numbers
-        while k < len(names) - 1 and at + row.n / 2 > ends[k]:
-            cuts.append(row.bucket)
+    sizes = cut_lineage(groups.groupBy("group_id").agg(F.count("*").alias("n")))
+    bucket = lambda salt: F.pmod(F.xxhash64(F.lit(seed), salt, "group_id"), F.lit(RANGE_BUCKETS)).cast("int")
+    lines = sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "group_id").groupBy("salt", bucket(F.col("salt")).alias("bucket")).agg(F.sum("n").alias("n"))
+    sums: dict[int, list] = {}
+    for r in lines.collect():  # at most SALTS x RANGE_BUCKETS rows of three numbers
+        sums.setdefault(r.salt, []).append((r.bucket, r.n))
+    best = min(((*line_cuts(sorted(own), order, shares), salt, order) for salt, own in sums.items() for order in permutations(shares)), default=(0.0, [], 0, tuple(shares)), key=lambda x: (x[0], x[2], x[3]))
+    _, cuts, salt, order = best
+    split = F.lit(order[-1])
+    for c, s in reversed(list(zip(cuts, order))):
+        split = F.when(bucket(F.lit(salt)) < c, s).otherwise(split)
+    return groups.select("record_id", "group_id").withColumn("split", split)  # the group's hash is in the row: nothing is joined
+
+
+def line_cuts(line: list[tuple[int, int]], order: tuple, shares: dict[str, float]) -> tuple[float, list[int]]:
+    """(largest error of a split's share, bucket at which each split but the last ends) on a line of (bucket, records)."""
+    total, weight = sum(n for _, n in line), sum(shares.values())
+    cuts, got, at, want, k = [], [], 0, 0.0, 0
+    for s in order[:-1]:
+        want += shares[s] / weight * total
+        start = at
+        while k < len(line) and abs(at + line[k][1] - want) <= abs(at - want):
+            at += line[k][1]
             k += 1
-        at += row.n
-    split = F.lit(names[len(cuts)])
-    for c, s in reversed(list(zip(cuts, names))):
-        split = F.when(F.col("bucket") < c, s).otherwise(split)
-    placed_df = spark.createDataFrame(placed, "group_id long, placed string")
-    of = sizes.join(F.broadcast(placed_df), "group_id", "left").select("group_id", "n", F.coalesce("placed", split).alias("split"))
-    return salted_join(groups, of.select("group_id", "split"), "group_id", "record_id", hot_keys(sizes, "group_id", "n", total)).select("record_id", "group_id", "split")
+        cuts.append(line[k][0] if k < len(line) else RANGE_BUCKETS)
+        got.append(at - start)
+    got.append(total - at)
+    return max((abs(g / total - shares[s] / weight) for g, s in zip(got, order)), default=0.0), cuts
+
+
+def split_report(splits: DataFrame) -> DataFrame:
+    """(split, n_records, n_groups, share): the split sizes really reached."""
+    out = splits.groupBy("split").agg(F.count("*").alias("n_records"), F.count_distinct("group_id").alias("n_groups"))
+    return out.withColumn("share", F.col("n_records") / F.sum("n_records").over(Window.partitionBy()))  # one row a split

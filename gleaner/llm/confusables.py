@@ -21,6 +21,10 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
     "ı": "i", "ɑ": "a", "ɡ": "g", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ո": "n", "Տ": "S", "Օ": "O", "Ս": "U", "ⅼ": "l", "ℓ": "l", "ѡ": "w", "ꞵ": "β", "µ": "μ",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏼ": "B",
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ⅿ": "m", "Ƽ": "5", "Ƨ": "2", "ǃ": "!", "ᖯ": "b", "ᑌ": "U", "ᒪ": "L", "ᗞ": "D", "ᗪ": "D", "ᐯ": "V", "᙭": "X",
     "‐": "-", "‑": "-", "﹣": "-", "․": ".", "։": ":", "꞉": ":", "∶": ":", ";": ";", "`": "`", "⁄": "/", "∕": "/",
 }
 
@@ -113,8 +117,10 @@ def look_alikes(examples: DataFrame) -> DataFrame:
     local = _with_forms(examples).select("example_id", "text", "_l.differing", F.col("_l.text_skeleton").alias("sk"))
     forms = cut_lineage(local.filter("text is not null").select("example_id", "differing", *h("t", "text"), *h("s", "sk")))
     notes = forms.select(F.col("example_id").alias("example_a"), F.col("example_id").alias("example_b"), F.explode("differing").alias("ann_pos"))
-    looks = forms.groupBy("s1", "s2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo != hi").select("s1", "s2")
-    several = cut_lineage(forms.join(looks, ["s1", "s2"], "left_semi").select("example_id", "s1", "s2", "t1", "t2"))
+    looks = cut_lineage(forms.groupBy("s1", "s2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.count("*").alias("n")).filter("lo != hi"))
+    often = hot_keys(looks.groupBy("s1").agg(F.sum("n").alias("n")), "s1", "n", looks.agg(F.sum("n")).first()[0] or 0)
+    met = salted_join(forms.select("example_id", "s1", "s2", "t1", "t2"), looks.select("s1", F.col("s2").alias("_s2")), "s1", "example_id", often)
+    several = cut_lineage(met.filter("s2 = _s2").drop("_s2"))
     texts = several.select("s1", "s2", "t1", "t2").distinct()
     links = texts.alias("x").join(texts.alias("y"), (F.col("x.s1") == F.col("y.s1")) & (F.col("x.s2") == F.col("y.s2")) & (F.col("x.t1") < F.col("y.t1"))).select(F.col("x.t1").alias("ta"), F.col("y.t1").alias("tb"))
     rows = several.select("example_id", "t1")
@@ -125,3 +131,16 @@ def look_alikes(examples: DataFrame) -> DataFrame:
     b = salted_join(rows.select(F.col("t1").alias("tb"), F.col("example_id").alias("b")), a, "tb", "b", hot.withColumnRenamed("t1", "tb"))
     pairs = b.select(F.least("a", "b").alias("example_a"), F.greatest("a", "b").alias("example_b"), F.lit(-1).alias("ann_pos"))
     return pairs.union(notes)
+
+
+def look_classes(examples: DataFrame) -> DataFrame:
+    """(example_id, class_id, n_forms): the smallest example whose text looks the same, and how many different texts look like it.
+
+    One row an example with a text, without making pairs.
+    """
+    forms = _with_forms(examples).filter("text is not null").select("example_id", F.md5(F.col("_l.text_skeleton")).alias("sk"), F.xxhash64("text").alias("t"))
+    forms = cut_lineage(forms)
+    each = forms.groupBy("sk", "t").agg(F.min("example_id").alias("m"), F.count("*").alias("n"))
+    classes = cut_lineage(each.groupBy("sk").agg(F.min("m").alias("class_id"), F.count("*").alias("n_forms"), F.sum("n").alias("n")))
+    hot = hot_keys(classes, "sk", "n", classes.agg(F.sum("n")).first()[0] or 0)
+    return salted_join(forms.select("example_id", "sk"), classes.select("sk", "class_id", "n_forms"), "sk", "example_id", hot).select("example_id", "class_id", "n_forms")

@@ -27,12 +27,32 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read_table(spark, sf_dir, "label_sessions"), "row_id", "_text", "chunk_index", b.capacity, b.overlap_len)
 
 
+def p1_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunking import cut_kinds
+
+    return cut_kinds(p1_pieces(spark, sf_dir), "_text")
+
+
+def p1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, n_chars): pieces without their overlap add up to the text, in order, none above the capacity."""
+    b = _budget(spark, sf_dir, "label_chunk")
+    p = p1_pieces(spark, sf_dir).filter("_text is not null")
+    own = F.when(F.col("piece_no") == 0, F.length("_text")).otherwise(F.length("_text") - b.overlap_len)
+    return p.groupBy("row_id").agg(F.sum(own).alias("n_chars"), F.min(F.length("_text") <= b.capacity).alias("fits"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .overlap import overlapping_pairs
 
     return overlapping_pairs(read_table(spark, sf_dir, "gold_ner"))
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .overlap import linked_records
+
+    return linked_records(read_table(spark, sf_dir, "gold_ner"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .overlap import overlap_report
 
@@ -97,12 +117,33 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits(_groups(spark, sf_dir))
 
 
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .components import split_report
+
+    return split_report(p6_splits(spark, sf_dir))
+
+
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records come out once, no group is in two splits, and no split is a hundredth off its share."""
+    s = p6_splits(spark, sf_dir)
+    parted = s.groupBy("group_id").agg(F.count_distinct("split").alias("k"), F.count("*").alias("n"))
+    n = lambda x: F.coalesce(F.sum(F.when(F.col("split") == x, 1)), F.lit(0)) / F.count("*")
+    sizes = s.agg(((F.abs(n("train") - 0.8) <= 0.01) & (F.abs(n("validation") - 0.1) <= 0.01) & (F.abs(n("test") - 0.1) <= 0.01)).alias("shares_met"))
+    return parted.agg(F.sum("n").alias("records"), F.count(F.when(F.col("k") > 1, 1)).alias("parted_groups")).crossJoin(sizes)  # one row each
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .confusables import look_alikes
 
     return look_alikes(read_table(spark, sf_dir, "training_examples"))
 
 
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .confusables import look_classes
+
+    return look_classes(read_table(spark, sf_dir, "training_examples"))
+
+
 def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .confusables import consistent_forms
 
@@ -143,6 +184,29 @@ def p8_fill_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p8_pack_large(spark, sf_dir), _budget(spark, sf_dir, "pack_large").capacity)
 
 
+def _packing_check(spark: SparkSession, sf_dir: str, packed: DataFrame, budget: str) -> DataFrame:
+    """Every document with all its tokens, only oversized ones divided, no container overfull, at least 98 % of the room used."""
+    from .packing import fill_report
+
+    cap = _budget(spark, sf_dir, budget).capacity
+    sized = _sized(spark, sf_dir)
+    docs = packed.groupBy("doc_id").agg(F.sum("piece_tokens").alias("t"), F.count("*").alias("k")).join(sized, "doc_id", "full")
+    a = docs.agg(
+        F.count("*").alias("documents"), F.count(F.when(~F.col("t").eqNullSafe(F.col("n_tokens")), 1)).alias("lost"),
+        F.count(F.when((F.col("k") > 1) & (F.col("n_tokens") <= cap), 1)).alias("parted"),
+    )
+    b = packed.filter("container is not null").groupBy("container").agg(F.sum("piece_tokens").alias("t")).agg(F.count(F.when(F.col("t") > cap, 1)).alias("overfull"))
+    return a.crossJoin(b).crossJoin(fill_report(packed, cap).select((F.col("fill") >= 0.98).alias("filled")))  # one row each
+
+
+def p8_check_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing_check(spark, sf_dir, p8_pack_small(spark, sf_dir), "pack_small")
+
+
+def p8_check_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing_check(spark, sf_dir, p8_pack_large(spark, sf_dir), "pack_large")
+
+
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -155,6 +219,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p9_selection(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p9_stretched_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice the tokens for which all shares are exact: short sources pass their lack on, in their domain first."""
+    from .mixing import mix, share_report
+
+    targets = read_table(spark, sf_dir, "mix_targets")
+    return share_report(mix(_sized(spark, sf_dir), targets, stretch=2.0), targets)
+
+
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source within a hundredth of its target share, no document used too often."""
+    r = p9_shares(spark, sf_dir)
+    return r.select("source", (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("share_met"), (F.col("most_times") <= F.col("max_repeats")).alias("repeats_met"))
+
+
 def _mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .subjects import document_subjects
 
