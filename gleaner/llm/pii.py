@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gleaner.session import cut_lineage
 
-from .pii_candidates import CLASSES, PARTICLES, _TOKEN, address_patterns, candidates, fold, folded, known_streets
+from .pii_candidates import CLASSES, PARTICLES, _RUN, _TOKEN, Streets, candidates, fold, folded, lowered, street_key
 
 #: Annotated rows of each table that the classifier is trained on, at most; chosen by hash of their key.
 FIT_ROWS = 4_000
@@ -42,7 +42,6 @@ TYPES = {
 
 _SPLIT = re.compile(r"\w+|[^\w\s]")
 _DIGITS = re.compile(r"\d+")
-_RUN = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -59,74 +58,84 @@ class Finder:
     rest: DataFrame | None = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_addresses"} | {"rest": None}
+        return {k: v for k, v in self.__dict__.items() if k != "_known"} | {"rest": None}
 
-    def joined(self, entries) -> "Finder":
+    def joined(self, entries) -> Finder:
         """This finder, with the entries joined to one text."""
         if entries is None or not len(entries):
             return self
         streets = sorted({e["entry"] for e in entries if e["kind"] == "S"})
-        own = Finder({}, self.streets + streets, self.before, self.after, self.weights, self.likely)
-        own.names = ChainMap({e["entry"]: e["kind"] for e in entries if e["kind"] != "S"}, self.names)
-        own.__dict__["_addresses"] = [*self.addresses[:1], *([known_streets(streets)] if streets else []), *self.addresses[1:]]
+        own = Finder(ChainMap({e["entry"]: e["kind"] for e in entries if e["kind"] != "S"}, self.names), self.streets + streets)
+        own.__dict__["_known"] = Streets(own.streets) if streets else self.known
         return own
 
     @property
-    def addresses(self) -> list:
-        if "_addresses" not in self.__dict__:
-            self.__dict__["_addresses"] = address_patterns(self.streets)
-        return self.__dict__["_addresses"]
-
-    def votes(self, f: str, spans: list[tuple], hints: list[tuple] | None = None) -> list[tuple]:
-        """(start, end, class, words before, words after, votes) of each candidate; votes are -1, 0 or 1, in the order of LABELERS."""
-        out = []
-        for a, b, cls, strength in spans:
-            left, right = _SPLIT.findall(f[max(0, a - 40) : a].lower())[-3:], _SPLIT.findall(f[b : b + 30].lower())[:2]
-            left = [_DIGITS.sub("0", w) for w in left]
-            right = [_DIGITS.sub("0", w) for w in right]
+    def known(self) -> Streets:
+        if "_known" not in self.__dict__:
+            self.__dict__["_known"] = Streets(self.streets)
+        return self.__dict__["_known"]
+
+    def candidates(self, text: str, notes) -> list[dict]:
+        """The candidates of a text with what the labelers see of them but the learned contexts, in the form of CANDIDATE."""
+        f, at = fold(text)
+        hints = hint_spans(text, f, at, [(n["kind"], n["value"], n["start"]) for n in notes if n is not None]) if notes is not None and len(notes) else None
+        low, out = lowered(f), []
+        for a, b, cls, strength in candidates(f, self.names, self.known):
+            left = [_DIGITS.sub("0", w) for w in _SPLIT.findall(low[max(0, a - 40) : a])[-3:]]
+            right = [_DIGITS.sub("0", w) for w in _SPLIT.findall(low[b : b + 30])[:2]]
             if cls == "person":
-                gaz = 1 if strength == 2 or self.names.get(f[a:b].lower()) else 0
+                gaz = 1 if strength == 2 or self.names.get(low[a:b]) else 0
             elif cls == "address":
-                low = f[a:b].lower()
-                gaz = 1 if any(s in low for s in self.streets) else 0
+                gaz = 1 if any(s in low[a:b] for s in self.known.in_text(low[a:b])) else 0
             else:
                 gaz = 0
             hint = 0
             if hints is not None:
                 over = [k for s, e, k in hints if s < b and e > a]
                 hint = 1 if cls in over else -1 if over else 0
-            pre = self.before.get((cls, *left[-2:]), self.before.get((cls, *left[-1:]), 0))
-            post = self.after.get((cls, *right[:2]), self.after.get((cls, *right[:1]), 0))
-            out.append((a, b, cls, left, right, (strength - 1, gaz, pre, post, hint)))
+            end = at[b - 1] + 1
+            while end < len(text) and "\u0300" <= text[end] <= "\u036f":
+                end += 1
+            shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", _DIGITS.sub(lambda m: str(len(m.group())), f[a:b])))[:24] if cls in ("phone", "id_number") else ""
+            out.append(dict(zip(_FIELDS, (a, b, at[a], end, cls, strength - 1, gaz, hint, left, right, shape))))
         return out
 
-    def features(self, row: tuple, f: str) -> list[int]:
-        a, b, cls, left, right, v = row
-        shape = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", _DIGITS.sub(lambda m: str(len(m.group())), f[a:b])))[:24]
-        raw = [(cls,), (cls, "s", shape if cls in ("phone", "id_number") else v[0]), (cls, "v", *v[:4]), *((cls, k, x) for k, x in enumerate(v[:4])), (cls, "l", *left[-1:]), (cls, "ll", *left[-2:]), (cls, "lll", *left), (cls, "r", *right[:1]), (cls, "rr", *right)]
+    def votes(self, c) -> tuple:
+        """The labelers' votes on a candidate: -1, 0 or 1, in the order of LABELERS."""
+        cls, left, right = c["cls"], list(c["before"]), list(c["after"])
+        pre = self.before.get((cls, *left[-2:]), self.before.get((cls, *left[-1:]), 0))
+        post = self.after.get((cls, *right[:2]), self.after.get((cls, *right[:1]), 0))
+        return c["form"], c["gazetteer"], pre, post, c["hint"]
+
+    def features(self, c, v: tuple) -> list[int]:
+        cls, left, right = c["cls"], list(c["before"]), list(c["after"])
+        raw = [(cls,), (cls, "s", c["shape"] or v[0]), (cls, "v", *v[:4]), *((cls, k, x) for k, x in enumerate(v[:4])), (cls, "l", *left[-1:]), (cls, "ll", *left[-2:]), (cls, "lll", *left), (cls, "r", *right[:1]), (cls, "rr", *right)]
         return [_hash(x) for x in raw]
 
+    def chosen(self, cands) -> list[tuple[int, int, str]]:
+        """(start_cp, end_cp, class) of the personal information among a text's candidates, without overlaps, in order."""
+        scored = []
+        for c in cands:
+            v = self.votes(c)
+            score = float(self.weights[self.features(c, v)].sum())
+            if score > 0:
+                # an address, number or mail is taken before a name inside it; then the likelier, then the longer
+                person = c["cls"] == "person"
+                scored.append(((person, -v[0] if c["cls"] == "address" else 0, -min(score, 4.0), c["a"] - c["b"], CLASSES.index(c["cls"])), c))
+        taken: list = []
+        for _, c in sorted(scored, key=lambda x: x[0]):
+            if not any(c["a"] < o["b"] and c["b"] > o["a"] for o in taken):
+                taken.append(c)
+        return sorted((c["start"], c["end"], c["cls"]) for c in taken)
+
     def find(self, text: str) -> list[tuple[int, int, str]]:
-        """(start_cp, end_cp, class) of the personal information in ``text``, without overlaps, in order."""
-        f, at = fold(text)
-        rows = self.votes(f, candidates(f, self.names, self.addresses))
-        if not rows:
-            return []
-        scores = [float(self.weights[self.features(r, f)].sum()) for r in rows]
-        taken: list[tuple[int, int, str]] = []
-        # an address, number or mail is taken before a name inside it; then the likelier, then the longer
-        order = sorted(range(len(rows)), key=lambda i: (rows[i][2] == "person", -rows[i][5][0] if rows[i][2] == "address" else 0, -min(scores[i], 4.0), rows[i][0] - rows[i][1], CLASSES.index(rows[i][2])))
-        for i in order:
-            a, b, cls = rows[i][:3]
-            if scores[i] > 0 and not any(a < e and b > s for s, e, _ in taken):
-                taken.append((a, b, cls))
-        out = []
-        for a, b, cls in sorted(taken):
-            end = at[b - 1] + 1
-            while end < len(text) and "̀" <= text[end] <= "ͯ":
-                end += 1
-            out.append((at[a], end, cls))
-        return out
+        """(start_cp, end_cp, class) of the personal information in ``text``."""
+        return self.chosen(self.candidates(text, None))
+
+
+#: A candidate: folded and original offsets, class, the labelers' own votes, words around it, its shape.
+_FIELDS = ("a", "b", "start", "end", "cls", "form", "gazetteer", "hint", "before", "after", "shape")
+CANDIDATES = "array<struct<a:int,b:int,start:int,end:int,cls:string,form:int,gazetteer:int,hint:int,before:array<string>,after:array<string>,shape:string>>"
 
 
 def _hash(x: tuple) -> int:
@@ -172,10 +181,6 @@ def occurrences(f: str, notes: list[tuple]) -> Counter:
     return seen
 
 
-def _street_key(street: str) -> str:
-    return max(_RUN.findall(street), key=lambda w: (len(w), w), default="")
-
-
 def _keys(text: str | None) -> list[str]:
     """What a name or street must be keyed by to occur in the text: its words, and runs of letters in them."""
     low = folded(text or "").lower()
@@ -197,7 +202,7 @@ def gazetteers(there: DataFrame) -> DataFrame:
     named = F.col("F") + F.col("L") + F.col("N")
     names = times.filter((named >= NAME_ROWS) & (F.col("O") >= NAME_ROWS) & (named >= NAME_SHARE * F.col("O"))).select(
         F.col("entry").alias("key"), "entry", F.when(F.col("F") > 4 * F.col("L"), "F").when(F.col("L") > 4 * F.col("F"), "L").otherwise("N").alias("kind"), named.alias("n"))
-    key = F.udf(lambda s: _street_key(s), "string")
+    key = F.udf(lambda s: street_key(s), "string")
     streets = times.filter("S >= 2").select(key("entry").alias("key"), "entry", F.lit("S").alias("kind"), F.col("S").alias("n"))
     return cut_lineage(names.unionByName(streets))
 
@@ -221,31 +226,27 @@ def with_rest(texts: DataFrame, rest: DataFrame | None) -> DataFrame:
     return texts.join(held, F.expr("tab <=> _tab and row_key <=> _row_key"), "left").select(*texts.columns, "entries")
 
 
-def contexts(there: DataFrame, finder: Finder) -> tuple[dict[tuple, int], dict[tuple, int]]:
-    """Votes by the words on each side, over all annotated rows: 1 where most candidates so placed are annotated, -1 where hardly any."""
+def with_candidates(texts: DataFrame, finder: Finder) -> DataFrame:
+    """(tab, row_key, annotated, cands) of every text: its candidates, searched once; null for a null text."""
+    bc = texts.sparkSession.sparkContext.broadcast(finder)  # bounded by NAMES and STREETS
 
-    def count(batches):
-        for pdf in batches:
-            every, good = Counter(), Counter()
-            for text, notes, entries in zip(pdf["text"], pdf["notes"], pdf["entries"]):
-                own = finder.joined(entries)
-                f, hints, _ = _prepared(text, notes)
-                for row in own.votes(f, candidates(f, own.names, own.addresses), hints):
-                    every[-1, ""] += 1
-                    for side in (0, 1):
-                        for n in (1, 2):
-                            words = row[3 + side][-n:] if side == 0 else row[3 + side][:n]
-                            key = side, "\x1f".join([row[2], *words])
-                            every[key] += 1
-                            good[key] += row[5][4] == 1
-            yield pd.DataFrame([(side, key, good[side, key], n) for (side, key), n in every.items()], columns=["side", "key", "good", "n"])
-
-    counted = there.select("text", "notes", "entries").mapInPandas(count, "side int, key string, good long, n long")
-    counted = cut_lineage(counted.groupBy("side", "key").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).filter((F.col("n") >= CONTEXT_ROWS) | (F.col("side") == -1)))
-    total = counted.filter("side = -1").agg(F.sum("n")).first()[0] or 0
+    def run(s: pd.Series, notes: pd.Series, entries: pd.Series) -> pd.Series:
+        return pd.Series([bc.value.joined(e).candidates(t, n) if t is not None else None for t, n, e in zip(s, notes, entries)], dtype=object)
+
+    searched = texts.select("tab", "row_key", (F.col("text").isNotNull() & (F.size("notes") > 0)).alias("annotated"), F.pandas_udf(run, CANDIDATES)("text", "notes", "entries").alias("cands"))
+    return cut_lineage(searched)
+
+
+def contexts(searched: DataFrame) -> tuple[dict[tuple, int], dict[tuple, int]]:
+    """Votes by the words on each side, over all annotated rows: 1 where most candidates so placed are annotated, -1 where hardly any."""
+    c = searched.filter("annotated").select(F.explode("cands").alias("c")).select("c.cls", "c.before", "c.after", (F.col("c.hint") == 1).cast("long").alias("good"))
+    last = lambda n: F.slice("before", F.greatest(F.lit(1), F.size("before") - n + 1), n)
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), words.alias("words")) for side, words in ((0, last(1)), (0, last(2)), (1, F.slice("after", 1, 1)), (1, F.slice("after", 1, 2)))))
+    counted = c.select("cls", "good", F.explode(sides).alias("s")).groupBy("s.side", "cls", "s.words").agg(F.sum("good").alias("good"), F.count("*").alias("n")).filter(F.col("n") >= CONTEXT_ROWS)
+    total = c.count()
     out: tuple[dict, dict] = {}, {}
-    for r in counted.filter((F.col("side") >= 0) & (F.col("n") >= total / CONTEXTS)).collect():  # at most 4 x CONTEXTS rows: a candidate counts in four
-        out[r.side][tuple(r.key.split("\x1f"))] = 1 if r.good >= 0.45 * r.n else -1 if r.good <= 0.05 * r.n else 0
+    for r in counted.filter(F.col("n") >= total / CONTEXTS).collect():  # at most 4 x CONTEXTS rows: a candidate counts in four
+        out[r.side][r.cls, *r.words] = 1 if r.good >= 0.45 * r.n else -1 if r.good <= 0.05 * r.n else 0
     return out
 
 
@@ -296,14 +297,12 @@ def texts_of(examples: DataFrame, challenge: DataFrame) -> DataFrame:
     return e.unionByName(c)
 
 
-def _prepared(text: str, notes) -> tuple:
-    f, at = fold(text)
-    hints = [(n["kind"], n["value"], n["start"]) for n in notes if n is not None]
-    return f, hint_spans(text, f, at, hints), hints
-
+def fit(texts: DataFrame) -> tuple[Finder, DataFrame]:
+    """What was learned, and the candidates of all texts (see :func:`with_candidates`).
 
-def fit(texts: DataFrame) -> Finder:
-    """Fit gazetteers and contexts on all annotated rows, vote patterns on all rows, the classifier on at most FIT_ROWS annotated rows of each table."""
+    Gazetteers and contexts are counted over all annotated rows, vote patterns over all rows; the classifier
+    is fitted on at most FIT_ROWS annotated rows of each table.
+    """
     annotated = "text is not null and size(notes) > 0"
     entries = gazetteers(texts.filter(annotated))
     names, more_names = _commonest(entries.filter("kind <> 'S'"), NAMES)
@@ -311,39 +310,32 @@ def fit(texts: DataFrame) -> Finder:
     finder = Finder({r.entry: r.kind for r in names}, [r.entry for r in streets])
     more = [d for d in (more_names, more_streets) if d is not None]
     finder.rest = more[0].unionByName(more[1]) if len(more) == 2 else more[0] if more else None
-    texts = with_rest(texts, finder.rest)
-    if more:
-        texts = cut_lineage(texts)
-    there = texts.filter(annotated)
-    finder.before, finder.after = contexts(there, finder)
+    searched = with_candidates(with_rest(texts, finder.rest), finder)
+    finder.before, finder.after = contexts(searched)
 
     def patterns(batches):
         total: Counter = Counter()
         for pdf in batches:
-            for text, notes, entries in zip(pdf["text"], pdf["notes"], pdf["entries"]):
-                if text:
-                    own = finder.joined(entries)
-                    f, hints, _ = _prepared(text, notes if notes is not None else ())
-                    for row in own.votes(f, candidates(f, own.names, own.addresses), hints if notes is not None and len(notes) else None):
-                        total[row[2], row[5]] += 1
+            for cands in pdf["cands"]:
+                for c in cands if cands is not None else ():
+                    total[c["cls"], finder.votes(c)] += 1
         yield pd.DataFrame([(c, [int(x) for x in v], n) for (c, v), n in total.items()], columns=["cls", "votes", "n"])
 
-    found = texts.select("text", "notes", "entries").mapInPandas(patterns, "cls string, votes array<int>, n long").groupBy("cls", "votes").agg(F.sum("n").alias("n"))
+    found = searched.select("cands").mapInPandas(patterns, "cls string, votes array<int>, n long").groupBy("cls", "votes").agg(F.sum("n").alias("n"))
     finder.likely = expectation_maximisation({(r.cls, tuple(r.votes)): r.n for r in found.collect()})  # at most classes x 3^labelers rows
     feats, target = [], []
     for tab in ("training_examples", "challenge"):
-        rows = there.filter(F.col("tab") == tab).orderBy(F.xxhash64(F.lit(4), "row_key"), "row_key").limit(FIT_ROWS)
+        rows = searched.filter((F.col("tab") == tab) & F.col("annotated")).orderBy(F.xxhash64(F.lit(4), "row_key"), "row_key").limit(FIT_ROWS).select("cands")
         for r in rows.collect():  # bounded by FIT_ROWS
-            own = finder.joined(r.entries)
-            f, hints, _ = _prepared(r.text, r.notes)
-            for row in own.votes(f, candidates(f, own.names, own.addresses), hints):
-                feats.append(own.features(row, f))
-                target.append(finder.likely.get((row[2], row[5]), 0.5))
+            for c in r.cands:
+                v = finder.votes(c)
+                feats.append(finder.features(c, v))
+                target.append(finder.likely.get((c["cls"], v), 0.5))
     finder.weights = train_classifier(feats, np.array(target, np.float32))
-    return finder
+    return finder, searched
 
 
-_FOUND = T.StructType([T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start_cp", T.IntegerType()), T.StructField("end_cp", T.IntegerType()), T.StructField("pii_class", T.StringType())]))), T.StructField("masked", T.StringType())])
+_FOUND = "array<struct<start_cp:int,end_cp:int,pii_class:string>>"
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -355,16 +347,22 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def find_personal(texts: DataFrame, finder: Finder) -> DataFrame:
-    """(tab, row_key, spans, masked): the personal information of each text, and the text with placeholders.
+def find_personal(searched: DataFrame, finder: Finder) -> DataFrame:
+    """(tab, row_key, spans): the personal information among the candidates of each text.
 
-    Null texts give no spans and a null ``masked``; empty texts come out as they are.  Whole texts
-    are read.  Repeated rows give equal results.
+    Null and empty texts give no spans.  Whole texts were read.  Repeated rows give equal results.
     """
-    bc = texts.sparkSession.sparkContext.broadcast(finder)  # bounded by NAMES, STREETS, CONTEXTS and DIM
+    bc = searched.sparkSession.sparkContext.broadcast(finder)  # bounded by NAMES, STREETS, CONTEXTS and DIM
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([[{"start_cp": a, "end_cp": b, "pii_class": c} for a, b, c in bc.value.chosen(cands)] if cands is not None else [] for cands in s], dtype=object)
+
+    return searched.select("tab", "row_key", F.pandas_udf(run, _FOUND)("cands").alias("spans"))
 
-    def run(s: pd.Series, entries: pd.Series) -> pd.DataFrame:
-        rows = [bc.value.joined(e).find(t) if t else [] for t, e in zip(s, entries)]
-        return pd.DataFrame({"spans": [[{"start_cp": a, "end_cp": b, "pii_class": c} for a, b, c in r] for r in rows], "masked": [redact(t, r) if t is not None else None for t, r in zip(s, rows)]})
 
-    return with_rest(texts, finder.rest).select("tab", "row_key", F.pandas_udf(run, _FOUND)("text", "entries").alias("_f")).select("tab", "row_key", "_f.*")
+def masked(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(tab, row_key, masked): each text with its spans as typed placeholders, everything else as it was; null for a null text."""
+    put = F.pandas_udf(lambda t, s: pd.Series([redact(x, [(y["start_cp"], y["end_cp"], y["pii_class"]) for y in (z if z is not None else ())]) if x is not None else None for x, z in zip(t, s)], dtype=object), T.StringType())
+    spans = found.select("tab", F.col("row_key").alias("_k"), "spans").dropDuplicates(["tab", "_k"])
+    out = texts.select("tab", "row_key", "text").join(spans.withColumnRenamed("tab", "_t"), F.expr("tab = _t and row_key <=> _k"), "left")
+    return out.select("tab", "row_key", put("text", "spans").alias("masked"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from .confusables import prototype
 
@@ -80,30 +81,73 @@ _ID = [
     (1, re.compile(r"(?<![\w\-.+/=])(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z\d]{9,10}(?![\w\-/]|\.\w)", re.I)),
 ]
 _NO = r"(?:,?\s*(?:n\.?\s?[º°o]\.?|n\.|nr\.?|no\.?|№|д\.|дом))?"
-_TAIL = r"\d{1,4}(?:\s?bis\b|[a-z](?!\w)|/[A-Z](?!\w)|-\d{1,3}(?!\w))?(?:,\s*(?:hinterhaus|vorderhaus|кв\.?\s*\d+|\d{1,2}\.?\s?[º°]\.?\s*(?:esq\.?|dto\.?|dir\.?|fte\.?|[a-z](?!\w))))?".replace("кв", folded("кв")).replace("д", folded("д"))
+_TAIL = r"\d{1,4}(?:\s?bis\b|[a-z](?!\w)|/[a-z](?!\w)|-\d{1,3}(?!\w))?(?:,\s*(?:hinterhaus|vorderhaus|кв\.?\s*\d+|\d{1,2}\.?\s?[º°]\.?\s*(?:esq\.?|dto\.?|dir\.?|fte\.?|[a-z](?!\w))))?".replace("кв", folded("кв")).replace("д", folded("д"))
 _NO = _NO.replace("дом", folded("дом")).replace("д", folded("д"))
 _HEAD = rf"(?:(?:{_UNIT})\s*\d{{1,4}},\s*)?(?:\d{{1,4}}(?:\s?bis|\s?[a-z])?,?\s+)?"
 
 
-def known_streets(streets: list[str]) -> tuple[int, re.Pattern]:
-    known = "|".join(re.escape(s).replace(r"\ ", r"\s+") for s in sorted(streets, key=len, reverse=True))
-    return 2, re.compile(rf"(?<![\w/]){_HEAD}(?:{known})(?!\w)(?:{_NO}\s*,?\s*{_TAIL})?(?!\w)", re.I)
-
-
-def address_patterns(streets: list[str]) -> list[tuple[int, re.Pattern]]:
-    """Patterns for boxes, streets known by name, and streets known by their kind."""
-    kinds = rf"(?:{_W}\s+){{1,3}}(?:{_EN_END})\b|(?:{_FIRST})\s*(?:{_SMALL}\s*)*{_W}(?:[\s'](?:{_SMALL}[\s'])*{_W}){{0,2}}|(?:{_W}\s+){{1,3}}(?:{_LAST})"
-    ends = rf"(?:{_FIRST})\s*(?:{_SMALL}\s*)*{_W}(?:[\s'](?:{_SMALL}[\s'])*{_W}){{0,2}}?|{_W}\s+(?:{_LAST})|(?:(?:am|oude|nieuwe|{_W}er)\s+)?(?:{LETTER}+(?:{_JOINED})|(?:{_W}er\s+)(?:{_JOINED}))"
-    out = [(2, re.compile(rf"(?<![\w.]){_BOX}\s*\d{{2,6}}(?!\w)", re.I))]
-    if streets:
-        out.append(known_streets(streets))
-    out.append((1, re.compile(rf"(?<![\w.\-/#])\d{{1,4}}(?:\s?bis|[a-z])?,?\s+(?:{kinds})(?!\w)", re.I)))
-    out.append((1, re.compile(rf"(?<![\w\-/])(?:{ends}){_NO}\s*,?\s*{_TAIL}(?![\w.\-]*@)(?!\w)", re.I)))
-    return out
+def lowered(f: str) -> str:
+    """Small letters, code point by code point, so that offsets stay."""
+    low = f.lower()
+    return low if len(low) == len(f) else "".join(c.lower() if len(c.lower()) == 1 else c for c in f)
 
 
+# Forms of streets, for text in small letters: engines are faster where case need not be ignored.
+_NAMED = rf"(?:{_FIRST})\s*(?:{_SMALL}\s*)*{_W}(?:[\s'](?:{_SMALL}[\s'])*{_W})"
+_BOXES = re.compile(rf"(?<![\w.]){_BOX}\s*\d{{2,6}}(?!\w)")
+_NUMBERED = re.compile(rf"(?<![\w.\-/#])\d{{1,4}}(?:\s?bis|[a-z])?,?\s+(?:(?:{_W}\s+){{1,3}}(?:{_EN_END})\b|{_NAMED}{{0,2}}|(?:{_W}\s+){{1,3}}(?:{_LAST}))(?!\w)")
+_ENDING = re.compile(rf"(?<![\w\-/])(?:{_NAMED}{{0,2}}?|{_W}\s+(?:{_LAST})|(?:(?:am|oude|nieuwe|{_W}er)\s+)?(?:{LETTER}+(?:{_JOINED})|(?:{_W}er\s+)(?:{_JOINED}))){_NO}\s*,?\s*{_TAIL}(?![\w.\-]*@)(?!\w)")
 #: Without one of these no street known by its kind alone can match.
-_KIND = re.compile(rf"(?:{_JOINED}|{_LAST}){_NO}\s*,?\s*\d|(?<!\w)(?:{_FIRST})\s*\w", re.I)
+_KIND_END = re.compile(rf"(?:{_JOINED}|{_LAST}){_NO}\s*,?\s*\d")
+_KIND_FIRST = re.compile(rf"(?<!\w)(?:{_FIRST})\s*\w")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def street_key(street: str) -> str:
+    """The longest run of letters of a street: no text without it holds the street."""
+    return max(_RUN.findall(street), key=lambda w: (len(w), w), default="")
+
+
+@lru_cache(maxsize=4096)
+def _known(streets: tuple[str, ...]) -> re.Pattern:
+    known = "|".join(re.escape(s).replace(r"\ ", r"\s+") for s in sorted(streets, key=len, reverse=True))
+    return re.compile(rf"(?<![\w/]){_HEAD}(?:{known})(?!\w)(?:{_NO}\s*,?\s*{_TAIL})?(?!\w)")
+
+
+class Streets:
+    """Known streets (in small letters), found by an automaton over their keys."""
+
+    def __init__(self, streets):
+        import ahocorasick
+
+        held: dict[str, list[str]] = {}
+        for s in streets:
+            if key := street_key(s):
+                held.setdefault(key, []).append(s)
+        self.automaton = ahocorasick.Automaton()
+        for key, own in held.items():
+            self.automaton.add_word(key, tuple(own))
+        self.empty = not held
+        if held:
+            self.automaton.make_automaton()
+
+    def in_text(self, low: str) -> tuple[str, ...]:
+        """Streets whose key the text holds."""
+        return () if self.empty else tuple(sorted({s for _, own in self.automaton.iter(low) for s in own}))
+
+
+def addresses(low: str, known: tuple[str, ...]):
+    """(strength, match) of streets and boxes in a text in small letters; ``known`` are the listed streets that may be in it."""
+    for m in _BOXES.finditer(low):
+        yield 2, m
+    if known:
+        for m in _known(known).finditer(low):
+            yield 2, m
+    for m in _NUMBERED.finditer(low):
+        yield 1, m
+    if _KIND_END.search(low) or _KIND_FIRST.search(low):
+        for m in _ENDING.finditer(low):
+            yield 1, m
 
 
 _TOKEN = re.compile(_W)
@@ -143,27 +187,31 @@ def name_sequences(f: str, names: dict[str, str]):
             yield a, b, j - i + 1
 
 
-def candidates(f: str, names: dict[str, str], addresses: list) -> list[tuple[int, int, str, int]]:
+_BRACKETED_AT, _DIGIT_ANY = re.compile(r"[\[({]\s?at\s?[\])}]", re.I), re.compile(r"\d")
+
+
+def candidates(f: str, names: dict[str, str], streets: Streets) -> list[tuple[int, int, str, int]]:
     """(start, end, class, strength) of every candidate in folded text; strength 2 for a telling form, 1 for a weak one."""
     out = []
-    if "@" in f or "at" in f or "AT" in f or "At" in f:
-        for strength, p in _EMAIL:
+    low = lowered(f)
+    tests = ("@" in f, _BRACKETED_AT.search(f) is not None, " at " in low and " dot " in low)
+    for (strength, p), there in zip(_EMAIL, tests):
+        if there:
             for m in p.finditer(f):
                 if m.group(1).lower() not in _FILES:
                     out.append((*m.span(), "email", strength))
+    numbers = _DIGIT_ANY.search(f) is not None
     for strength, digits, p in _PHONE:
-        for m in p.finditer(f):
-            if not digits or digits <= sum(c.isdigit() for c in m.group()) <= 15:
-                out.append((*m.span(), "phone", strength))
-    for strength, p in _ID:
-        for m in p.finditer(f):
-            if strength == 2 or sum(c.isdigit() for c in m.group()) >= 1:
-                out.append((*m.span(), "id_number", strength))
-    kinds = bool(_KIND.search(f))
-    for k, (strength, p) in enumerate(addresses):
-        if k == len(addresses) - 1 and not kinds:
-            continue
-        for m in p.finditer(f):
+        if numbers if digits else "," in f or " " in f:
+            for m in p.finditer(f):
+                if not digits or digits <= sum(c.isdigit() for c in m.group()) <= 15:
+                    out.append((*m.span(), "phone", strength))
+    if numbers:
+        for strength, p in _ID:
+            for m in p.finditer(f):
+                if strength == 2 or sum(c.isdigit() for c in m.group()) >= 1:
+                    out.append((*m.span(), "id_number", strength))
+        for strength, m in addresses(low, streets.in_text(low)):
             if any(c.isdigit() for c in m.group()):
                 out.append((*m.span(), "address", strength))
     for a, b, parts in name_sequences(f, names):

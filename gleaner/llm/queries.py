@@ -92,19 +92,22 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_groups(read_table(spark, sf_dir, "gold_ner"), read_table(spark, sf_dir, "gold_sources"))
 
 
-def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _personal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from .pii import find_personal, fit, texts_of
 
     texts = spread(texts_of(read_table(spark, sf_dir, "training_examples"), read_table(spark, sf_dir, "challenge")), "row_key")
-    return find_personal(texts, fit(texts))
+    finder, searched = fit(texts)
+    return texts, find_personal(searched, finder)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _personal(spark, sf_dir).select("tab", "row_key", F.explode("spans").alias("s")).select("tab", "row_key", "s.*")
+    return _personal(spark, sf_dir)[1].select("tab", "row_key", F.explode("spans").alias("s")).select("tab", "row_key", "s.*")
 
 
 def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _personal(spark, sf_dir).select("tab", "row_key", "masked")
+    from .pii import masked
+
+    return masked(*_personal(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
