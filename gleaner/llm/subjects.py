@@ -17,14 +17,15 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gleaner.session import cut_lineage
 
 from .language import ABBREVIATION
 
-#: Hand-labelled and other documents learned from, at most; chosen by hash of their id.
-LABELLED, UNLABELLED = 6_000, 0
+#: Hand-labelled documents learned from, at most; chosen by hash of their id.
+LABELLED = 6_000
 #: Leaves of the clustering, passes a level, terms that label a leaf.
 LEAVES, PASSES, LEAF_TERMS = 96, 4, 40
 #: Share of a document's sentences from which a subject counts; no subject lies between 1/8 and 1/4.
@@ -174,31 +175,38 @@ class Evidence:
         return p / np.sqrt((p * p).sum(1, keepdims=True))
 
 
-def _by_text(texts: pd.Series, of) -> pd.Series:
-    return pd.Series([of([terms(s) for s in sentences(t)]) if t else [] for t in texts], dtype=object)
-
-
 def evidence(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Evidence:
     """Learn from at most LABELLED documents of ``labels(doc_id, subject)``; unknown subjects are ignored."""
     described = {r.subject: r.description for r in areas.select("subject", "description").collect() if r.subject}  # the fixed table of subjects
     own = labels.filter(F.col("subject").isin(list(described))).groupBy("doc_id").agg(F.collect_set("subject").alias("s"))
     own = own.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(LABELLED)
     texts = documents.select("doc_id", "text").filter("text is not null")
-    others = texts.join(F.broadcast(own), "doc_id", "left_anti").withColumn("s", F.lit(None).cast("array<string>"))
-    others = others.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(UNLABELLED)
-    rows = texts.join(F.broadcast(own), "doc_id").unionByName(others)
+    rows = texts.join(F.broadcast(own), "doc_id")  # at most LABELLED rows
     split = F.pandas_udf(lambda s: s.map(lambda t: [" ".join(terms(x)) for x in sentences(t)]), T.ArrayType(T.StringType()))
-    docs = [([x.split() for x in r.w], set(r.s) if r.s else None) for r in rows.select(split("text").alias("w"), "s").collect()]  # bounded by LABELLED + UNLABELLED
+    docs = [([x.split() for x in r.w], set(r.s)) for r in rows.select(split("text").alias("w"), "s").collect()]  # bounded by LABELLED
     return Evidence(*learn(docs, described))
 
 
-def leaf_centres(documents: DataFrame, ev: Evidence) -> np.ndarray:
+def analysed(documents: DataFrame, ev: Evidence) -> DataFrame:
+    """(doc_id, terms, vectors): for each sentence its known terms by number and its vector; the texts are read here only."""
+    kind = T.StructType([T.StructField("terms", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("vectors", T.ArrayType(T.ArrayType(T.FloatType())))])
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            sents = [terms(s) for s in sentences(t)] if t else []
+            out.append(([[i for w in ts if (i := ev.number.get(w)) is not None] for ts in sents], list(ev.vectors(sents)) if sents else []))
+        return pd.DataFrame(out, columns=["terms", "vectors"])
+
+    return cut_lineage(documents.select("doc_id", F.pandas_udf(run, kind)("text").alias("_a")).select("doc_id", "_a.*"))
+
+
+def leaf_centres(read: DataFrame, ev: Evidence) -> np.ndarray:
     """Centres of the leaves of bisecting k-means over the vectors of all sentences of all documents."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
-    vec = F.pandas_udf(lambda s: _by_text(s, lambda x: np.round(ev.vectors(x), 2).tolist()), T.ArrayType(T.ArrayType(T.FloatType())))
-    points = documents.select(F.explode(vec("text")).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
+    points = read.select(F.explode("vectors").alias("v")).select(F.transform("v", lambda x: F.round(x, 2)).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
     points = cut_lineage(points.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"), "n"))
     if points.limit(1).count() == 0:
         return np.zeros((0, len(ev.subjects) + 1), np.float32)
@@ -206,30 +214,39 @@ def leaf_centres(documents: DataFrame, ev: Evidence) -> np.ndarray:
     return np.array(model.clusterCenters(), np.float32)
 
 
-def leaf_labels(documents: DataFrame, ev: Evidence, centres: np.ndarray) -> dict[int, str | None]:
+def with_leaves(read: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``read`` with ``leaves``: the leaf of each sentence; a projection over whole batches."""
+    k = centres.shape[1]
+
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        leaf = (flat @ centres.T).argmax(1).astype(np.int32) if len(flat) else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]), pa.int32()), pa.array(leaf))
+
+    return read.withColumn("leaves", F.arrow_udf(run, "array<int>")("vectors"))
+
+
+def leaf_labels(read: DataFrame, ev: Evidence) -> dict[int, str | None]:
     """The subject (or none) of each leaf: what its discriminative terms, counted over all documents, say together."""
+    words = len(ev.number)
 
     def count(batches):
-        total: dict[tuple[int, str], int] = {}
-        for pdf in batches:
-            for t in pdf["text"]:
-                sents = [terms(s) for s in sentences(t)] if t else []
-                for leaf, ts in zip((ev.vectors(sents) @ centres.T).argmax(1).tolist() if sents else [], sents):
-                    for w in ts:
-                        if w in ev.number:
-                            total[leaf, w] = total.get((leaf, w), 0) + 1
-        yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["leaf", "term", "n"])
-
-    counts = documents.select("text").mapInPandas(count, "leaf int, term string, n long").groupBy("leaf", "term").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(counts)
-    per_term, per_leaf = counts.groupBy("term").agg(F.sum("n").alias("t")), F.broadcast(counts.groupBy("leaf").agg(F.sum("n").alias("l")))
+        for batch in batches:
+            leaves, sents = batch.column(0).combine_chunks() if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0), batch.column(1)
+            flat = sents.flatten()
+            leaf = np.repeat(leaves.flatten().to_numpy(zero_copy_only=False).astype(np.int64), flat.value_lengths().to_numpy(zero_copy_only=False))
+            ids, n = np.unique(leaf * words + flat.flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((ids // words).astype(np.int32)), pa.array((ids % words).astype(np.int32)), pa.array(n)], ["leaf", "term", "n"])
+
+    counts = cut_lineage(read.select("leaves", "terms").mapInArrow(count, "leaf int, term int, n long").groupBy("leaf", "term").agg(F.sum("n").alias("n")))
+    per_term, per_leaf = counts.groupBy("term").agg(F.sum("n").alias("t")), F.broadcast(counts.groupBy("leaf").agg(F.sum("n").alias("l")))  # at most LEAVES rows
     total = counts.agg(F.sum("n")).first()[0] or 1
     lift = F.log(F.col("n") * F.lit(float(total)) / (F.col("t") * F.col("l")))
     best = Window.partitionBy("leaf").orderBy(F.desc("score"), "term")
     top = counts.join(per_term, "term").join(per_leaf, "leaf").withColumn("score", F.col("n") / F.col("l") * lift).filter("score > 0")
     out: dict[int, np.ndarray] = {}
     for r in top.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= LEAF_TERMS).collect():  # at most LEAVES x LEAF_TERMS rows
-        out[r.leaf] = out.get(r.leaf, 0) + r.score * ev.logp[ev.number[r.term]]
+        out[r.leaf] = out.get(r.leaf, 0) + r.score * ev.logp[r.term]
     names = [*ev.subjects, None]
     return {leaf: names[int(np.argmax(s))] for leaf, s in out.items()}
 
@@ -241,23 +258,18 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame)
     Very long texts are read whole; repeated rows get equal mixtures.
     """
     ev = evidence(documents, labels, areas)
-    centres = leaf_centres(documents, ev)
-    of = leaf_labels(documents, ev, centres)
-    kind = T.StructType([T.StructField("n_sentences", T.IntegerType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))])
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            sents = [terms(s) for s in sentences(t)] if t else []
-            mix: dict[str, float] = {}
-            if sents:
-                for leaf in (ev.vectors(sents) @ centres.T).argmax(1).tolist():
-                    if s := of.get(leaf):
-                        mix[s] = mix.get(s, 0.0) + 1 / len(sents)
-            out.append((len(sents), mix))
-        return pd.DataFrame(out, columns=["n_sentences", "mixture"])
-
-    return documents.select("doc_id", F.pandas_udf(run, kind)("text").alias("_m")).select("doc_id", "_m.*")
+    read = analysed(documents, ev)
+    centres = leaf_centres(read, ev)
+    n = F.size("terms").alias("n_sentences")
+    if not len(centres):
+        return read.select("doc_id", n, F.expr("cast(map() as map<string,double>)").alias("mixture"))
+    read = cut_lineage(with_leaves(read, centres))
+    of = leaf_labels(read, ev)
+    # one array slot a leaf, so that a leaf's subject is looked up by position
+    names = F.array(*(F.lit(of.get(i)).cast("string") for i in range(len(centres))))
+    subjects = F.filter(F.transform("leaves", lambda i: F.get(names, i)), lambda x: x.isNotNull())
+    share = lambda s: F.size(F.filter("_s", lambda x: x == s)) / F.size("terms")
+    return read.withColumn("_s", subjects).select("doc_id", n, F.map_from_entries(F.transform(F.array_distinct("_s"), lambda s: F.struct(s.alias("key"), share(s).alias("value")))).alias("mixture"))
 
 
 def found_subjects(mixtures: DataFrame) -> DataFrame:
