@@ -20,6 +20,8 @@ from .confusables import skeleton
 TRAIN_ROWS = 4_000
 #: Bytes a window, distance of windows, bytes' embedding, filter widths, filters a width.
 WINDOW, STRIDE, DIM, WIDTHS, FILTERS = 64, 40, 12, (2, 3, 4, 5), 24
+#: Bytes that go through the filters at a time, about.
+STREAM = 4_096
 #: A further language needs a sentence of so many words, so much confidence, and so many times that of the text's main language.
 SENTENCE_WORDS, CONFIDENT, MARGIN = 4, 0.75, 5
 
@@ -69,10 +71,13 @@ def plain(text: str) -> bytes:
     return " ".join(_NOISE.sub(" ", _MARKS.sub("", skeleton(text)).lower()).split()).encode("utf-8", "replace")
 
 
+def window_starts(size: int) -> list[int]:
+    last = max(0, size - WINDOW)
+    return [*range(0, last, STRIDE), last]
+
+
 def windows(data: bytes) -> list[bytes]:
-    last = max(0, len(data) - WINDOW)
-    starts = [*range(0, last, STRIDE), last]
-    return [data[s : s + WINDOW].ljust(WINDOW, b"\0") for s in starts]
+    return [data[s : s + WINDOW].ljust(WINDOW, b"\0") for s in window_starts(len(data))]
 
 
 @dataclass
@@ -117,6 +122,45 @@ class ByteNetwork:
             out.append(s - np.log(np.exp(s).sum(1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(self.out_bias)), np.float32)
 
+    def stream_log_probs(self, datas: list[bytes]) -> np.ndarray:
+        """The log-probabilities of all windows of ``datas`` in order, as :func:`windows` cuts them.
+
+        Each byte goes through the filters once, whatever windows it is in: the pieces are laid in a row with zeros
+        between, all widths are one product, and windows are maxima over ranges of positions.
+        """
+        widest, gap = max(WIDTHS), max(WIDTHS) - 1
+        bank = np.zeros((widest * DIM, FILTERS * len(WIDTHS)), np.float32)
+        for k, (w, own) in enumerate(zip(WIDTHS, self.banks)):
+            bank[: w * DIM, k * FILTERS : (k + 1) * FILTERS] = own
+        bias, nothing = np.concatenate(self.bias), np.tile(self.emb[0], widest) @ bank
+        out, at = [], 0
+        while at < len(datas):
+            k, size = at, 0
+            while k < len(datas) and size < STREAM:
+                size += len(datas[k]) + gap
+                k += 1
+            part, at = datas[at:k], k
+            sizes = [len(d) for d in part]
+            bases = np.concatenate([[0], np.cumsum(np.array(sizes[:-1], int) + gap)]).tolist()
+            row = np.frombuffer((b"\0" * gap).join(part) + b"\0" * (2 * gap), np.uint8)
+            e = self.emb[row]
+            z = np.ascontiguousarray(np.lib.stride_tricks.as_strided(e, (len(row) - gap, widest * DIM), (4 * DIM, 4))) @ bank
+            cut = [(b + s, min(WINDOW, n - s)) for b, n in zip(bases, sizes) for s in window_starts(n)]
+            start, held = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
+            feats = np.empty((len(cut), bank.shape[1]), np.float32)
+            for j, w in enumerate(WIDTHS):
+                cols = slice(j * FILTERS, (j + 1) * FILTERS)
+                ends = start + np.minimum(held, WINDOW - w + 1)
+                top = np.maximum.reduceat(z[:, cols], np.stack([start, ends], 1).ravel(), axis=0)[::2]
+                short = held < WINDOW - w + 1  # the rest of the window is padding
+                top[short] = np.maximum(top[short], nothing[cols])
+                top[held == 0] = nothing[cols]
+                feats[:, cols] = top
+            q = np.maximum(feats + bias, 0) @ self.out + self.out_bias
+            q -= q.max(1, keepdims=True)
+            out.append(q - np.log(np.exp(q).sum(1, keepdims=True)))
+        return np.concatenate(out) if out else np.zeros((0, len(self.out_bias)), np.float32)
+
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         h, kept = self.pooled(x, True)
         s = h @ self.out + self.out_bias
@@ -190,13 +234,13 @@ _SEGMENT = T.ArrayType(T.StructType([T.StructField("start_cp", T.IntegerType()),
 def segment_texts(texts: list[str], net: ByteNetwork, langs: list[str]) -> list[list[tuple]]:
     """The language segments of each text: see :func:`language_segments`."""
     spans = [[(a, b, len(_WORD.findall(t[a:b]))) for a, b in sentences(t)] for t in texts]
-    xs, sizes = [], []
+    datas, sizes = [], []
     for t, ss in zip(texts, spans):
         for a, b, n in ss:
-            ws = windows(plain(t[a:b])) if n else []
-            xs += ws
-            sizes.append(len(ws))
-    lp = net.log_probs(np.frombuffer(b"".join(xs), np.uint8).reshape(-1, WINDOW))
+            if n:
+                datas.append(plain(t[a:b]))
+            sizes.append(len(window_starts(len(datas[-1]))) if n else 0)
+    lp = net.stream_log_probs(datas)
     ends = np.cumsum(sizes)
     out, k = [], 0
     for t, ss in zip(texts, spans):
