@@ -227,13 +227,13 @@ def with_rest(texts: DataFrame, rest: DataFrame | None) -> DataFrame:
 
 
 def with_candidates(texts: DataFrame, finder: Finder) -> DataFrame:
-    """(tab, row_key, annotated, cands) of every text: its candidates, searched once; null for a null text."""
+    """(tab, row_key, h, annotated, cands) of every text, ``h`` its digest: its candidates, searched once; null for a null text."""
     bc = texts.sparkSession.sparkContext.broadcast(finder)  # bounded by NAMES and STREETS
 
     def run(s: pd.Series, notes: pd.Series, entries: pd.Series) -> pd.Series:
         return pd.Series([bc.value.joined(e).candidates(t, n) if t is not None else None for t, n, e in zip(s, notes, entries)], dtype=object)
 
-    searched = texts.select("tab", "row_key", (F.col("text").isNotNull() & (F.size("notes") > 0)).alias("annotated"), F.pandas_udf(run, CANDIDATES)("text", "notes", "entries").alias("cands"))
+    searched = texts.select("tab", "row_key", F.md5("text").alias("h"), (F.col("text").isNotNull() & (F.size("notes") > 0)).alias("annotated"), F.pandas_udf(run, CANDIDATES)("text", "notes", "entries").alias("cands"))
     return cut_lineage(searched)
 
 
@@ -348,7 +348,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_personal(searched: DataFrame, finder: Finder) -> DataFrame:
-    """(tab, row_key, spans): the personal information among the candidates of each text.
+    """(tab, row_key, h, spans): the personal information among the candidates of each text.
 
     Null and empty texts give no spans.  Whole texts were read.  Repeated rows give equal results.
     """
@@ -357,12 +357,12 @@ def find_personal(searched: DataFrame, finder: Finder) -> DataFrame:
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([[{"start_cp": a, "end_cp": b, "pii_class": c} for a, b, c in bc.value.chosen(cands)] if cands is not None else [] for cands in s], dtype=object)
 
-    return searched.select("tab", "row_key", F.pandas_udf(run, _FOUND)("cands").alias("spans"))
+    return searched.select("tab", "row_key", "h", F.pandas_udf(run, _FOUND)("cands").alias("spans"))
 
 
 def masked(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(tab, row_key, masked): each text with its spans as typed placeholders, everything else as it was; null for a null text."""
     put = F.pandas_udf(lambda t, s: pd.Series([redact(x, [(y["start_cp"], y["end_cp"], y["pii_class"]) for y in (z if z is not None else ())]) if x is not None else None for x, z in zip(t, s)], dtype=object), T.StringType())
-    spans = found.select("tab", F.col("row_key").alias("_k"), "spans").dropDuplicates(["tab", "_k"])
-    out = texts.select("tab", "row_key", "text").join(spans.withColumnRenamed("tab", "_t"), F.expr("tab = _t and row_key <=> _k"), "left")
+    spans = found.select(F.col("tab").alias("_t"), F.col("row_key").alias("_k"), F.col("h").alias("_h"), "spans").dropDuplicates(["_t", "_k", "_h"])
+    out = texts.select("tab", "row_key", "text").join(spans, F.expr("tab = _t and row_key <=> _k and md5(text) = _h"), "left")
     return out.select("tab", "row_key", put("text", "spans").alias("masked"))
