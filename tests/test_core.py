@@ -8,7 +8,8 @@ from gleaner.functions import patterns as P, replacements as R, rulesets
 from gleaner.operators import replace as X, spans as S, units as U
 from gleaner.operators.extract import findings
 from gleaner.operators.literals import Matcher
-from gleaner.operators.skew import hot_keys, salted_join
+from gleaner.operators.scan import Scanner
+from gleaner.operators.skew import hot_keys, running, salted_join
 from gleaner.operators.summary import fail_on
 from gleaner.sources import files
 
@@ -29,10 +30,23 @@ def test_findings_slice_back_and_survive_odd_rows(spark):
     assert findings(d.limit(0), ["id"], "text", ["email"]).count() == 0
 
 
-def test_native_lane_has_no_python(spark):
+def test_texts_are_read_once_and_not_moved(spark):
     d = spark.createDataFrame([(1, "a@b.example.net")], "id int, text string")
     plan = findings(d, ["id"], "text")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Exchange" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_runs_of_any_length_are_read_whole():
+    inside = lambda t: [n for n, *_ in Scanner(["ssn_nodash"]).scan(t)]
+    assert inside("x-" + "1." * 400 + "-123456789") == []  # a letter 800 characters before
+    assert inside("see 123456789 here") == ["ssn_nodash"] and inside("password=ab-12345678-123456789") == ["ssn_nodash"]
+
+
+def test_addresses_by_number():
+    from gleaner.operators.scan import is_local
+
+    assert all(map(is_local, ["10.1.2.3", "127.0.0.1", "172.31.9.9", "192.168.0.7", "100.64.0.1", "169.254.1.1", "203.0.113.9", "198.19.0.1", "224.0.0.1", "255.255.255.255"]))
+    assert not any(map(is_local, ["8.8.4.4", "172.32.0.1", "100.128.0.1", "192.0.3.1", "198.20.0.1", "11.0.0.1"]))
 
 
 def test_greedy_and_islands_on_touching_and_equal_spans(spark):
@@ -42,23 +56,23 @@ def test_greedy_and_islands_on_touching_and_equal_spans(spark):
     assert [(r.start_cp, r.end_cp) for r in S.islands(d, ["k"], touching=True).filter("k = 1").collect()] == [(0, 12)]
 
 
-@pytest.mark.parametrize("strategy", ["placeholder", "mask", "hash", "numbered", "corpus"])
+@pytest.mark.parametrize("strategy", X.STRATEGIES)
 def test_replacement_keeps_the_rest(spark, strategy):
     d = spark.createDataFrame([(1, "to a@b.example.net, cc c@d.example.net, a@b.example.net!"), (2, "nothing"), (3, None)], "id int, text string")
-    f = findings(d, ["id"], "text", ["email"])
-    out = {r.id: r.anonymized for r in X.anonymized(d, f, "id", "text", strategy, b"k").collect()}
+    out = {r.id: r.anonymized for r in X.anonymized(d, "id", "text", strategy, b"k", ["email"]).collect()}
     assert out[2] == "nothing" and out[3] is None
     assert out[1].startswith("to ") and out[1].endswith("!") and ", cc " in out[1] and "a@b" not in out[1]
 
 
 def test_restoration_is_the_identity_and_leaves_nothing(spark):
-    d = spark.createDataFrame([(1, "to a@b.example.net, cc c@d.example.net"), (2, "plain <X_1>")], "id int, text string")
+    d = spark.createDataFrame([(1, "to a@b.example.net, cc c@d.example.net"), (2, "plain <X_1>"), (3, None), (4, ""), (1, "a@b.example.net again")], "id int, text string")
     f = findings(d, ["id"], "text", ["email"])
-    gone = X.anonymized(d, f, "id", "text", "corpus", b"k")
+    gone = X.anonymized(d, "id", "text", "corpus", b"k", ["email"])
     keys = X.key_map(f, R.corpus_placeholder(F.col("pattern_name"), F.col("matched_text"), b"k"), ["id", "start_cp"])
     assert X.ambiguous(keys).count() == 0
     back = X.restored(gone, keys, "id", "anonymized")
-    assert {r.id: r.restored for r in back.collect()} == {1: "to a@b.example.net, cc c@d.example.net", 2: "plain <X_1>"}
+    assert sorted((r.id, r.restored or "") for r in back.collect()) == sorted((r.id, r.text or "") for r in d.collect())
+    assert back.filter("restored is null").count() == 1
     assert [r.kind for r in X.residuals(back, keys, "id", "restored").collect()] == ["unknown"]
 
 
@@ -111,6 +125,64 @@ def test_salted_join_is_a_join(spark):
     assert rows(salted_join(a, b, "k", "v", hot)) == rows(a.join(b, "k"))
 
 
+def test_running_ordinals_and_sums(spark):
+    d = spark.createDataFrame([(i * 7 % 50, i % 5) for i in range(50)], "k int, n int")
+    got = sorted((r.k, r.ordinal, r.upto) for r in running(d, [F.col("k")], F.col("n")).collect())
+    n = dict((r.k, r.n) for r in d.collect())
+    assert got == [(k, k + 1, sum(n[j] for j in range(k))) for k in range(50)]
+
+
+def test_values_spread_through_a_large_session(spark):
+    from gleaner.operators.sessions import propagated
+
+    values = spark.createDataFrame([("s", v) for v in ("Ann Lee", r"a\Eb+c", "--", "lee", None, "")] + [("t", "Ann Lee")], "session string, value string")
+    texts = ["Ann Lee met Ann Lee", "Ann Leeson", r"x a\Eb+c -- y", "lee lee", None, ""]
+    rows = [(i, "s", t) for i, t in enumerate(texts)] + [(100 + i, "s", "Ann Lee met Ann Lee") for i in range(300)] + [(900, "t", "by Ann Lee"), (901, "u", "Ann Lee")]
+    got = {(r.k, r.value): r.occurrences for r in propagated(values, spark.createDataFrame(rows, "k int, session string, t string"), "session", "t", "k").collect()}
+    want = {(0, "Ann Lee"): 2, (2, r"a\Eb+c"): 1, (2, "--"): 1, (3, "lee"): 2, (900, "Ann Lee"): 1} | {(100 + i, "Ann Lee"): 2 for i in range(300)}
+    assert got == want
+
+
+def test_json_keeps_all_but_its_values(spark):
+    rows = [(1, '{"a": "mail x@y.example.net", "n": 1.50, "b": [true, null, "p@q.example.net", {}]}'), (2, None), (3, "{bad"), (4, '{"k":  "plain"}'), (5, "[]"), (6, '"solo@x.example.net"')]
+    d = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: r.anonymized for r in X.json_anonymized(d, "text", "placeholder", names=["email"], compact=True).collect()}
+    assert got == {1: '{"a":"mail <EMAIL>","n":1.50,"b":[true,null,"<EMAIL>",{}]}', 2: None, 3: None, 4: '{"k":  "plain"}', 5: "[]", 6: '"<EMAIL>"'}
+    pretty = {r.id: r.anonymized for r in X.json_anonymized(d, "text", "placeholder", names=["email"]).collect()}
+    assert pretty[4] == '{\n  "k": "plain"\n}' and pretty[5] == "[]"
+
+
+def test_names_inside_handles_follow_their_people(spark):
+    values = spark.createDataFrame([("ann.lee@x.example",), ("@ANN_99",), ("https://x.example/AnnLee",), (None,)], "v string")
+    parts = spark.createDataFrame([("Ann", "Edda"), ("Lee", "Birk")], "component string, alias string")
+    assert {r.v: r.linked for r in X.linked(values, parts, "v").collect()} == {"ann.lee@x.example": "edda.birk@x.example", "@ANN_99": "@EDDA_99", "https://x.example/AnnLee": "https://x.example/AnnLee"}
+
+
+def test_long_lists_are_searched_in_shards(spark, monkeypatch):
+    from gleaner.operators import literals
+
+    texts = spark.createDataFrame([("ann lee and anna",), (None,), ("",)], "t string")
+    lits = spark.createDataFrame([(w, False) for w in ("ann", "ann lee", "anna", "and", "zoe", "lee")], "literal string, anywhere boolean")
+    one = sorted(map(tuple, literals.matches(texts, "t", lits, longest=True).collect()))
+    monkeypatch.setattr(literals, "LIST_ROWS", 2)
+    assert sorted(map(tuple, literals.matches(texts, "t", lits, longest=True).collect())) == one and len(one) == 3
+
+
+def test_a_sentence_goes_on_over_batches(spark, tmp_path):
+    from gleaner.streaming.text import STORE, sentence_units
+
+    spark.conf.set(*STORE)
+    src = tmp_path / "in"
+    src.mkdir()
+    s = spark.readStream.schema("k string, n int, line string, last boolean").json(str(src))
+    put = lambda: sentence_units(s, "k", "n", "line", "last").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(100)
+    (src / "1.json").write_text('{"k": "a", "n": 1, "line": "One that", "last": false}\n')
+    assert put()
+    (src / "2.json").write_text('{"k": "a", "n": 2, "line": "goes on.", "last": false}\n{"k": "a", "n": 3, "line": "key: v", "last": false}\n{"k": "a", "n": 4, "line": "", "last": false}\n{"k": "a", "n": 5, "line": "end", "last": true}\n')
+    assert put()
+    assert sorted((r.unit, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "One that goes on."), (2, "key: v"), (3, "end")]
+
+
 def test_files_round_trip(spark, tmp_path):
     keys = spark.createDataFrame([("a", "<X_1>", "email"), ("b", "<X_2>", "email")], "original string, replacement string, pattern_name string")
     files.write_key_map(keys, f"{tmp_path}/keys")
@@ -136,34 +208,25 @@ def test_office_runs():
 
 
 def test_numbered_stream_keeps_state(spark, tmp_path):
-    from gleaner.streaming.text import numbered
+    from gleaner.streaming.text import STORE, numbered
 
     src = tmp_path / "in"
     src.mkdir()
     schema = "session string, value string"
+    spark.conf.set(*STORE)
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
     (src / "1.json").write_text('{"session": "a", "value": "x"}\n{"session": "a", "value": "y"}\n')
-    q = numbered(s).writeStream.format("memory").queryName("numbered").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
+    put = lambda: numbered(s).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(100)
+    assert put()
     (src / "2.json").write_text('{"session": "a", "value": "y"}\n{"session": "b", "value": "y"}\n{"session": "a", "value": null}\n')
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.session, r.value, r.number) for r in spark.table("numbered").collect()) == [("a", "x", 1), ("a", "y", 2), ("a", "y", 2), ("b", "y", 1)]
+    assert put()
+    assert sorted((r.session, r.value, r.number) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", "x", 1), ("a", "y", 2), ("a", "y", 2), ("b", "y", 1)]
 
 
-def test_every_pattern_runs_over_every_text_table(spark, tmp_path):
-    from gleaner.functions import patterns as P
+def test_every_pattern_runs_over_every_text_table():
     from gleaner.plans import detect as D
 
-    assert {n for g in D.GROUPS.values() for n in g} == {p.name for p in P.ALL}
-    assert {f"s24_{g}_{t}" for g in D.GROUPS for t in D.TEXTS} <= set(D.QUERIES)
-    new = [n for g in ("authentication", "iban", "labelled_phone", "username", "licence") for n in D.GROUPS[g]]
-    key, text = D.TEXTS["label_sessions"]
-    spark.createDataFrame([(n, t) for n, t, _ in D.SAMPLES], f"{key} int, {text} string").write.parquet(f"{tmp_path}/label_sessions.parquet")
-    got = set()
-    for g in ("authentication", "iban", "labelled_phone", "username", "licence"):
-        got |= {(r[key], r.pattern_name, r.matched_text) for r in D.QUERIES[f"s24_{g}_label_sessions"](spark, str(tmp_path)).collect() if r.pattern_name != "api_key"}
-    assert got == {(n, k, v) for n, _, fs in D.SAMPLES for k, v in fs if k in new}
+    assert set(D.EVERY) == {p.name for p in P.ALL} and {f"s24_all_{t}" for t in D.TEXTS} <= set(D.QUERIES) & set(D.SQL)
 
 
 def test_contained_values_may_start_and_end_inside_words(spark, monkeypatch):
@@ -189,14 +252,14 @@ def test_whole_queries_keep_texts_beyond_ascii(spark, tmp_path):
     spark.createDataFrame([(1, "Dr Zoë Müllers"), (2, "Анна Кедрова"), (3, None)], "record_id int, text string").write.parquet(f"{at}/gold_ner.parquet")
     got = lambda name: sorted(tuple(r) for r in q[name](spark, at).collect())
 
-    tokens = {i: [t for k, t in got("x10_word_split_whole") if k == i] for i in range(4)}
+    tokens = {i: [t for k, t in got("x10_word_split") if k == i] for i in range(4)}
     assert tokens[2] == sorted(["हिन्दी", "शब्द"]) and tokens[1] == sorted(["#", "Größe", "Café-Bar", "émile", "@", "mail", ".", "example"])
-    assert got("f22_line_forms_whole") == [(0, 1, "key_value"), (0, 2, "empty"), (0, 3, "prose"), (0, 4, "prose"), (1, 1, "heading"), (1, 2, "prose"), (2, 1, "prose"), (3, 1, "prose")]
-    assert {t for _, _, t in got("w7_sentence_units_whole")} == {"Имя: Анна", "Это первая строка.", "# Größe", "Café-Bar émile@mail.example", "हिन्दी शब्द", "plain words"}
-    assert [k for k, _ in got("filter_p21_interest_whole")] == [0, 1, 2, 3] and dict(got("filter_p21_interest_whole"))[1] == 3
-    assert dict(got("s12_word_list_whole")) == {"имя:": 1, "это": 1, "строка.": 1, "café-bar": 1, "हिन्दी": 1, "plain": 1}
-    assert {v for v, _, _ in got("filter_p15_trimmed_edges_whole")} == {v for _, v in notes[0]}
+    assert got("f22_line_forms") == [(0, 1, "key_value"), (0, 2, "empty"), (0, 3, "prose"), (0, 4, "prose"), (1, 1, "heading"), (1, 2, "prose"), (2, 1, "prose"), (3, 1, "prose")]
+    assert {t for _, _, t in got("w7_sentence_units")} == {"Имя: Анна", "Это первая строка.", "# Größe", "Café-Bar émile@mail.example", "हिन्दी शब्द", "plain words"}
+    assert [k for k, _ in got("filter_p21_interest")] == [0, 1, 2, 3] and dict(got("filter_p21_interest"))[1] == 3
+    assert dict(got("s12_word_list")) == {"имя:": 1, "это": 1, "строка.": 1, "café-bar": 1, "हिन्दी": 1, "plain": 1}
+    assert {v for v, _, _ in got("filter_p15_trimmed_edges")} == {v for _, v in notes[0]}
     want = {("ask ZOË MÜLLER or İpek Ada", "zoë müller"), ("ask ZOË MÜLLER or İpek Ada", "İpek ada"), ("анна кедрова, a@b.example", "анна кедрова"), ("анна кедрова, a@b.example", "a@b.example")}
-    assert {(t, w.replace("i̇", "İ").replace("İpek Ada", "İpek ada")) for t, w, _ in got("x1_all_literals_whole")} == want
-    assert {(r.text, r.literal.replace("İpek Ada", "İpek ada")) for r in q["x2_longest_literals_whole"](spark, at).collect()} == want
-    assert got("j6_reviewed_values_whole") == [(1, "Zoë Müller"), (2, "Анна Кедрова")]
+    assert {(t, w.replace("i̇", "İ").replace("İpek Ada", "İpek ada")) for t, w, _ in got("x1_all_literals")} == want
+    assert {(r.text, r.literal.replace("İpek Ada", "İpek ada")) for r in q["x2_longest_literals"](spark, at).collect()} == want
+    assert got("j6_reviewed_values") == [(1, "Zoë Müller"), (2, "Анна Кедрова")]
