@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleaner.operators.extract import spans
 from gleaner.operators.literals import contained
+from gleaner.operators.replace import anonymized_text
 
 
 def path_form(pattern: str) -> str:
@@ -67,3 +69,22 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def manifest(outputs: DataFrame, group: str, n: str) -> DataFrame:
     """K8: the public manifest: counts and sizes only."""
     return outputs.groupBy(group).agg(F.count("*").alias("files"), F.sum(n).alias("bytes"))
+
+
+def proposed(units: DataFrame, key: str, text: str, approved: list[str], secret: bytes) -> DataFrame:
+    """(key, status, classes, applied): the corpus flow in one pass: propose, approve by class, apply.
+
+    ``status`` is ``clean`` (nothing proposed), ``approved`` (every class of its findings is approved; ``applied`` has
+    them replaced) or ``open`` (a class is not; nothing is applied, ``applied`` is null, so that no unit goes out in part).
+    """
+    d = units.select(key, text, spans(text).alias("_f")).withColumn("classes", F.array_sort(F.array_distinct(F.transform("_f", lambda f: f["pattern_name"]))))
+    ok = F.forall("classes", lambda c: c.isin(approved))
+    status = F.when(F.coalesce(F.size("_f"), F.lit(0)) <= 0, "clean").when(ok, "approved").otherwise("open")
+    d = anonymized_text(d.withColumn("status", status), text, "corpus", secret)
+    return d.select(key, "status", F.coalesce("classes", F.array().cast("array<string>")).alias("classes"), F.when(F.col("status") != "open", F.col("anonymized")).alias("applied"))
+
+
+def verified(applied: DataFrame, key: str, classes: list[str]) -> DataFrame:
+    """(key, n): approved findings that are still in an applied text; a release wants none."""
+    f = applied.filter("applied is not null").select(key, F.explode(spans("applied", classes)).alias("f"))
+    return f.groupBy(key).agg(F.count("*").alias("n"))

@@ -92,6 +92,14 @@ def _longest_run(value: Column) -> Column:
     return F.aggregate(runs, F.lit(""), lambda a, r: F.when(F.char_length(r) > F.char_length(a), r).otherwise(a))
 
 
+def value_form(value: Column) -> Column:
+    """A value as a form: itself, at word edges where it begins or ends with a letter or digit."""
+    quoted = F.regexp_replace(value, r"([^\p{L}\p{N}\s])", r"\\$1")
+    left = F.when(value.rlike(r"^[\p{L}\p{N}]"), r"(?<![\p{L}\p{N}])").otherwise("")
+    right = F.when(value.rlike(r"[\p{L}\p{N}]$"), r"(?![\p{L}\p{N}])").otherwise("")
+    return F.concat(left, quoted, right)
+
+
 def propagated(values: DataFrame, leaves: DataFrame, session: str, text: str, key: str) -> DataFrame:
     """(key, value, occurrences): every value of a session in every leaf of it, at word edges where the value ends in letters or digits.
 
@@ -110,10 +118,7 @@ def propagated(values: DataFrame, leaves: DataFrame, session: str, text: str, ke
     hot = hot_keys(n, "_k", "n", n.agg(F.sum("n")).first()[0] or 0)
     pairs = salted_join(met, wanted, "_k", "_h", hot).filter(F.col(session) == F.col("_vs")).select(session, "_h", "value").distinct()
     j = pairs.join(texts, [session, "_h"]).filter(F.col(text).contains(F.col("value")))
-    quoted = F.regexp_replace("value", r"([^\p{L}\p{N}\s])", r"\\$1")
-    left = F.when(F.col("value").rlike(r"^[\p{L}\p{N}]"), r"(?<![\p{L}\p{N}])").otherwise("")
-    right = F.when(F.col("value").rlike(r"[\p{L}\p{N}]$"), r"(?![\p{L}\p{N}])").otherwise("")
-    found = j.withColumn("occurrences", F.size(F.regexp_extract_all(F.col(text), F.concat(left, quoted, right), F.lit(0)))).filter("occurrences > 0")
+    found = j.withColumn("occurrences", F.size(F.regexp_extract_all(F.col(text), value_form(F.col("value")), F.lit(0)))).filter("occurrences > 0")
     found = found.groupBy(session, "_h").agg(F.collect_list(F.struct("value", "occurrences")).alias("_f"))  # the values of one text
     rows = leaves.select(key, session, F.md5(text).alias("_h")).join(found, [session, "_h"])
     return rows.select(key, F.explode("_f").alias("f")).select(key, "f.value", "f.occurrences")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gleaner.functions import patterns as P
 from gleaner.session import cut_lineage
@@ -45,3 +45,9 @@ def blockers(findings: DataFrame, order: list[str], names: list[str]) -> DataFra
 def merged(parts: DataFrame, by: list[str]) -> DataFrame:
     """A2: partial summaries ``n`` of several runs put together."""
     return parts.groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def progress(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df`` unchanged, and an observation that has ``counts`` once ``df`` has been computed: no pass of its own, counts only."""
+    seen = Observation(name)
+    return df.observe(seen, *(c.alias(k) for k, c in counts.items())), seen

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions import patterns as P
-from gleaner.operators import corpus as C, replace as X, scoring as Q, sessions as S, units as U
+from gleaner.operators import corpus as C, replace as X, review as V, scoring as Q
 from gleaner.operators.extract import findings
 from gleaner.session import read_table, spread
 
@@ -98,13 +98,12 @@ def filter_p19_approved_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select entity_type as class, category as basis, count(*) as n from (select a.entity_type, a.category from (select unnest(annotations) as a from training_examples)) group by 1, 2")
 def a12_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a"))
-    return a.groupBy(F.col("a.entity_type").alias("class"), F.col("a.category").alias("basis")).agg(F.count("*").alias("n"))
+    return V.tallied(a.select(F.col("a.entity_type").alias("class"), F.col("a.category").alias("basis")), ["class", "basis"])
 
 
 @query("select class from (select distinct s.class as class from (select unnest(spans) as s from challenge)) where class not in ('person', 'email')")
 def u7_unknown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "challenge").select(F.explode("spans").alias("s")).select("s.class").distinct()
-    return c.exceptAll(spark.createDataFrame([("person",), ("email",)], "class string"))
+    return V.not_among(read_table(spark, sf_dir, "challenge").select(F.explode("spans").alias("s")).select("s.class"), ["person", "email"], "class")
 
 
 @query("select session, 'left' as side from (select session from trace_sessions except select session from label_sessions) union all select session, 'right' from (select distinct session from label_sessions except select session from trace_sessions)")
@@ -202,10 +201,7 @@ def x8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select distinct token from (select unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{16,}')) as token from challenge) where list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: -(len(list_filter(string_split(token, ''), lambda x: x = c)) / length(token)) * log2(len(list_filter(string_split(token, ''), lambda x: x = c)) / length(token)))) > 3.5")
 def x4_high_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleaner.functions.replacements import entropy
-
-    t = read_table(spark, sf_dir, "challenge").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/=_-]{16,}"), F.lit(0))).alias("token")).distinct()
-    return t.filter(entropy(F.col("token")) > 3.5)
+    return V.high_entropy(read_table(spark, sf_dir, "challenge"), "text")
 
 
 _WD = f"[{WORDS}]"
@@ -221,31 +217,28 @@ def x10_word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select entity_type as label, case entity_type when 'first_name' then 'person' when 'last_name' then 'person' when 'phone_us' then 'phone' when 'phone_intl' then 'phone' else entity_type end as coarse, count(*) as n from (select a.entity_type from (select unnest(annotations) as a from training_examples)) group by 1, 2")
 def filter_p22_coarse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a")).select(F.col("a.entity_type").alias("label"))
-    coarse = F.when(F.col("label").isin("first_name", "last_name"), "person").when(F.col("label").isin("phone_us", "phone_intl"), "phone").otherwise(F.col("label"))
-    return a.groupBy("label", coarse.alias("coarse")).agg(F.count("*").alias("n"))
+    return V.tallied(a.withColumn("coarse", V.coarse(F.col("label"))), ["label", "coarse"])
 
 
 @query("select distinct example_id, a.entity_type as label, a.value as value from (select example_id, unnest(annotations) as a from training_examples) where a.entity_type <> 'date' and a.value is not null")
 def v6_label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read_table(spark, sf_dir, "training_examples").select("example_id", F.explode("annotations").alias("a"))
-    return a.filter("a.entity_type != 'date' and a.value is not null").select("example_id", F.col("a.entity_type").alias("label"), F.col("a.value").alias("value")).distinct()
+    a = read_table(spark, sf_dir, "training_examples").select("example_id", F.explode("annotations").alias("a")).select("example_id", "a.*")
+    return V.label_pairs(a, "example_id", "entity_type", "value", ["date"])
 
 
 @query("select session from trace_sessions where starts_with(sha256(session), 'a') order by started_at desc, session limit 5")
 def v11_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "trace_sessions").filter(F.sha2("session", 256).startswith("a")).orderBy(F.desc("started_at"), "session").limit(5).select("session")
+    return V.selected_runs(read_table(spark, sf_dir, "trace_sessions"), "session", "started_at", "a", 5)
 
 
 @query("select session, case when cwd is null then 'missing' when n is null then 'unavailable' when n < 3 then 'incomplete' else 'ready' end as status from trace_sessions left join (select session, count(_text) as n from label_sessions group by 1) using (session)")
 def v12_session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read_table(spark, sf_dir, "label_sessions").groupBy("session").agg(F.count("_text").alias("n"))
-    s = read_table(spark, sf_dir, "trace_sessions").join(n, "session", "left")
-    return s.select("session", F.when(F.col("cwd").isNull(), "missing").when(F.col("n").isNull(), "unavailable").when(F.col("n") < 3, "incomplete").otherwise("ready").alias("status"))
+    return V.session_status(read_table(spark, sf_dir, "trace_sessions"), read_table(spark, sf_dir, "label_sessions"), "session", "cwd", "_text")
 
 
 @query("select _text, min(row_id) as row_id, count(*) as copies from label_sessions where _text is not null group by 1")
 def o6_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "label_sessions").filter("_text is not null").groupBy("_text").agg(F.min("row_id").alias("row_id"), F.count("*").alias("copies"))
+    return V.distinct_texts(read_table(spark, sf_dir, "label_sessions"), "_text", "row_id")
 
 
 @query("select term, row_number() over (order by length(term) desc, term) as ordinal from (select distinct s.value as term from (select unnest(spans) as s from challenge))")

@@ -110,9 +110,9 @@ _IBAN = f"""(select key, t, left(v, size) as v, s, whole, before, after from (se
     and list_reduce(list_transform(string_split(substr(replace(left(v, size), ' ', ''), 5) || left(v, 4), ''), lambda c: case when c between '0' and '9' then c::int else ascii(c) - 55 end), lambda a, x: (a * (case when x > 9 then 100 else 10 end) + x) % 97) = 1)"""
 
 
-def extraction_sql(table: str, names: list[str]) -> str:
+def extraction_sql(table: str, names: list[str], key: str | None = None, text: str | None = None) -> str:
     """SQL of :func:`findings`: matches and gaps give offsets, rules drop look-alikes."""
-    key, text = TEXTS[table]
+    key, text = (key, text) if key and text else TEXTS[table]
     parts = []
     for n in names:
         p, form, of = P.BY_NAME[n], P.BY_NAME[n].re2, "u"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions import patterns as P
-from gleaner.operators import buffers as B, literals as L, sessions as S
+from gleaner.operators import buffers as B, literals as L, review as V, sessions as S
 from gleaner.session import read_table
 
 from .detect import WORDS
@@ -110,8 +110,7 @@ def j16_shared_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select id from challenge where list_has_any(list_transform(spans, lambda s: s.class), ['person', 'street_address'])")
 def j17_label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "challenge")
-    return c.filter(F.arrays_overlap(F.transform("spans", lambda s: s["class"]), F.array(F.lit("person"), F.lit("street_address")))).select("id")
+    return V.with_labels(read_table(spark, sf_dir, "challenge"), "spans", "class", ["person", "street_address"]).select("id")
 
 
 @query("select count(*) as candidates, count(nym_prediction) as answered, count(*) - count(nym_prediction) as missing from label_sessions")
@@ -131,7 +130,7 @@ def u1_reviewed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select lower(w) as literal from (select source as w from documents union all select source from label_sessions union all select source from trace_sessions) where w is not null group by 1")
 def u2_literal_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [read_table(spark, sf_dir, t).select("source") for t in ("documents", "label_sessions", "trace_sessions")]
-    return parts[0].union(parts[1]).union(parts[2]).filter("source is not null").select(F.lower("source").alias("literal")).distinct()
+    return V.literal_union(parts, "source")
 
 
 @query(f"select 'both' as side, count(*) as n from (select distinct example_id, start_cp, end_cp from {ANN} where label = 'person' intersect select distinct example_id, start_cp, end_cp from {ANN} where label <> 'first_name') union all select 'left', count(*) from (select distinct example_id, start_cp, end_cp from {ANN} where label = 'person' except select distinct example_id, start_cp, end_cp from {ANN} where label <> 'person')")
@@ -168,36 +167,31 @@ def filter_p17_keep_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select record_id, case when entities is null or len(entities) = 0 then 'no_entities' when not annotation_complete then 'incomplete' when len(list_filter(entities, lambda e: e.end_cp - e.start_cp < 3)) > 0 then 'short_span' else 'kept' end as reason from gold_ner where annotation_complete is not null")
 def filter_p20_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = read_table(spark, sf_dir, "gold_ner").filter("annotation_complete is not null")
-    short = F.exists("entities", lambda e: (e["end_cp"] - e["start_cp"]) < 3)
-    reason = F.when(F.col("entities").isNull() | (F.size("entities") == 0), "no_entities").when(~F.col("annotation_complete"), "incomplete").when(short, "short_span").otherwise("kept")
-    return g.select("record_id", reason.alias("reason"))
+    return g.select("record_id", V.kept_reason(F.col("entities"), F.col("annotation_complete")).alias("reason"))
 
 
 @query("select event_type, count(*) as n, round(max(abs(value - m)), 6) as worst, count(case when value > 20 and m <= 20 then 1 end) as disagree from (select *, avg(value) over (partition by event_type) as m from events where value is not null) group by 1")
 def v3_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").filter("value is not null")
     j = e.join(e.groupBy("event_type").agg(F.avg("value").alias("m")), "event_type")
-    return j.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("value") - F.col("m"))), 6).alias("worst"), F.count(F.when((F.col("value") > 20) & (F.col("m") <= 20), 1)).alias("disagree"))
+    return V.parity(j, "event_type", "value", "m", 20)
 
 
 @query("select role, round(count(case when hard and said then 1 end) / nullif(count(case when hard then 1 end), 0), 6) as recall, round(count(case when not hard and not said then 1 end) / nullif(count(case when not hard then 1 end), 0), 6) as utility, count(case when hard and not said then 1 end) as unsafe from (select role, n_spans > 0 as hard, nym_prediction = 'sensitive' as said from label_sessions where n_spans is not null and nym_prediction is not null) group by 1")
 def v4_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read_table(spark, sf_dir, "label_sessions").filter("n_spans is not null and nym_prediction is not null")
-    hard, said = F.col("n_spans") > 0, F.col("nym_prediction") == "sensitive"
-    n = lambda c: F.count(F.when(c, 1))
-    return l.groupBy("role").agg(F.round(n(hard & said) / F.nullif(n(hard), F.lit(0)), 6).alias("recall"), F.round(n(~hard & ~said) / F.nullif(n(~hard), F.lit(0)), 6).alias("utility"), n(hard & ~said).alias("unsafe"))
+    return V.adjudication(l, "role", F.col("n_spans") > 0, F.col("nym_prediction") == "sensitive")
 
 
 @query("select t as threshold, count(*) as kept, round(1 - pow(0.05, 1.0 / count(*)), 9) as bound from events, (values (10.0), (20.0), (40.0)) x(t) where value >= t group by 1")
 def v5_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events").select("value", F.explode(F.array(F.lit(10.0), F.lit(20.0), F.lit(40.0))).alias("threshold")).filter("value >= threshold")
-    return e.groupBy("threshold").agg(F.count("*").alias("kept"), F.round(1 - F.pow(F.lit(0.05), 1.0 / F.count("*")), 9).alias("bound"))
+    return V.abstention(read_table(spark, sf_dir, "events"), "value", [10.0, 20.0, 40.0])
 
 
 @query("select v, n from (select a.value as v, count(*) as n from (select unnest(annotations) as a from training_examples) where a.entity_type = 'first_name' group by 1) where n >= 2 and regexp_matches(v, '^\\p{Lu}[\\p{Ll}\\p{M}]+$')")
 def v8_name_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "training_examples").select(F.explode("annotations").alias("a")).filter("a.entity_type = 'first_name'")
-    return a.groupBy(F.col("a.value").alias("v")).agg(F.count("*").alias("n")).filter("n >= 2").filter(F.col("v").rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$"))
+    return V.name_corpus(a.select("a.value"), "value")
 
 
 @query("select sha256('k' || _text) as key from (select distinct _text from label_sessions where _text is not null) where length(_text) > 20")
@@ -216,21 +210,20 @@ def r18_changed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select record_id, lower(text_sha256) = sha256(text) as fresh, annotation_complete as complete from gold_ner")
 def r20_gold_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "gold_ner").select("record_id", (F.lower("text_sha256") == F.sha2("text", 256)).alias("fresh"), F.col("annotation_complete").alias("complete"))
+    return V.freshness(read_table(spark, sf_dir, "gold_ner"), "record_id", "text", "text_sha256", "annotation_complete")
 
 
 @query(f"select doc_id, line_no, value as block from {_TREE} where type = 'VARCHAR' and key = 'text'")
 def r19_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaves(spark, sf_dir).filter("kind = 'string' and key = 'text'").select("doc_id", "line_no", F.col("value").alias("block"))
+    return V.text_blocks(_leaves(spark, sf_dir)).select("doc_id", "line_no", "block")
 
 
 @query("select source, count(*) as sessions, min(session) as first from trace_sessions group by 1")
 def r15_session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "trace_sessions").groupBy("source").agg(F.count("*").alias("sessions"), F.min("session").alias("first"))
+    return V.listed(read_table(spark, sf_dir, "trace_sessions"), "source", "session")
 
 
 @query("select l.row_id, l.session, s.source as header_source from label_sessions l join trace_sessions s using (session)")
 def j5_plan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, s = read_table(spark, sf_dir, "label_sessions").select("row_id", "session"), read_table(spark, sf_dir, "trace_sessions").select("session", F.col("source").alias("header_source"))
-    j = l.join(s.withColumn("_there", F.lit(True)), "session", "left")
-    return j.filter(F.assert_true(F.col("_there"), F.lit("a plan names an unknown session")).isNull()).drop("_there")
+    return V.planned(l, s, "session")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import spans as S
+from gleaner.operators import review as V, spans as S
 from gleaner.operators.extract import findings
 from gleaner.session import read_table, spread
 
@@ -145,6 +145,5 @@ def f18_byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with p as (select label, start_cp, end_cp, record_id from {_GOLD}), f as ({extraction_sql('gold_ner', ['email'])})
 select count(*) as gold, count(f.record_id) as hit, count(*) - count(f.record_id) as missed from p left join (select distinct record_id, start_cp, end_cp from f) f using (record_id, start_cp, end_cp) where label = 'EMAIL'""")
 def j19_exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(spread(read_table(spark, sf_dir, "gold_ner"), "record_id"), ["record_id"], "text", ["email"]).select("record_id", "start_cp", "end_cp").distinct().withColumn("hit", F.lit(1))
-    g = gold(spark, sf_dir).filter("label = 'EMAIL'").join(f, ["record_id", "start_cp", "end_cp"], "left")
-    return g.agg(F.count("*").alias("gold"), F.count("hit").alias("hit"), (F.count("*") - F.count("hit")).alias("missed"))
+    f = findings(spread(read_table(spark, sf_dir, "gold_ner"), "record_id"), ["record_id"], "text", ["email"])
+    return V.hits(gold(spark, sf_dir).filter("label = 'EMAIL'"), f, ["record_id", "start_cp", "end_cp"])

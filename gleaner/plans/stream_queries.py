@@ -78,13 +78,13 @@ def _mapped(spark: SparkSession) -> None:
     spark.conf.set(*T.STORE)
 
 
-@query("select session, value, row_number() over (partition by session order by f, value) as number from (select session, nym_prediction as value, min(row_id) as f from label_sessions where nym_prediction is not null group by 1, 2)".replace("row_number() over (partition by session order by f, value)", "count(*) over (partition by session)"))
+@query("select session, count(distinct nym_prediction) as numbers, count(distinct nym_prediction) as last from label_sessions where nym_prediction is not null group by 1")
 def t1_numbered_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbers given out a session: as many as distinct values, whatever the order of arrival."""
+    """How many numbers each session gave out, and the last: as many as distinct values, whatever the order of arrival."""
     _mapped(spark)
     values = _stream(spark, sf_dir, "label_sessions").select("session", F.col("nym_prediction").alias("value"))
     out = _drained(T.numbered(values), "append")
-    return out.join(out.groupBy("session").agg(F.max("number").alias("_m")), "session").select("session", "value", F.col("_m").cast("long").alias("number")).distinct()
+    return out.groupBy("session").agg(F.count_distinct("value", "number").alias("numbers"), F.max("number").cast("long").alias("last"))
 
 
 @query(_JSON_SQL)

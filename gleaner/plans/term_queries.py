@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import terms as V
+from gleaner.operators import review as E, terms as V
 from gleaner.session import read_table, spread
 
 from .detect import quoted
@@ -104,11 +104,8 @@ def o2_demoted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select term, row_number() over (order by case when length(term) > 12 then distinct_texts else -1 end desc, r) as rank from (
 select term, distinct_texts, row_number() over (order by distinct_texts desc, sources desc, occurrences desc, term) as r from {_COUNTS} qualify r <= 100)""")
 def o3_recognised_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     top = V.ranked(_counts(spark, sf_dir).withColumn("score", F.col("distinct_texts").cast("double")), 100)
-    match = F.when(F.length("term") > 12, F.col("distinct_texts")).otherwise(-1)
-    return top.select("term", F.row_number().over(Window.orderBy(match.desc(), "rank")).alias("rank"))  # over the 100 of the shortlist
+    return E.recognised_first(top, F.length("term") > 12, "distinct_texts")
 
 
 _BG = f"(select term, count(*) as n from (select unnest(regexp_extract_all(text, {_W})) as term from documents) where length(term) between 2 and 120 group by 1)"
@@ -160,7 +157,7 @@ def a5_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select source_id, count(distinct term) as n from {_TERMS} group by 1")
 def a6_distinct_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _gold(spark, sf_dir).select("source_id", F.explode(V.phrases(F.col("text"))).alias("term")).filter(V.valid(F.col("term")))
-    return t.groupBy("source_id").agg(F.count_distinct("term").alias("n"))
+    return E.distinct_by(t, "source_id", "term")
 
 
 @query(f"select sha256(term) as id, term, 'sensitive' as choice from {_COUNTS} where occurrences >= 20 and occurrences % 2 = 0")

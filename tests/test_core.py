@@ -143,6 +143,36 @@ def test_values_spread_through_a_large_session(spark):
     assert got == want
 
 
+def test_session_flow_cleans_every_text_of_a_session(spark):
+    from gleaner.operators.traces import session_pipeline
+
+    rows = [(1, "s", "write to ann.lee@mail.acme.net now"), (2, "s", "ann.lee@mail.acme.net, ann.lee@mail.acme.net!"), (3, "s", None), (4, "t", "xann.lee@mail.acme.net"), (5, "s", "xann.lee@mail.acme.net")]
+    d = spark.createDataFrame([(*r, "clash") for r in rows], "k int, session string, t string, value string")
+    out = {r.k: (r.cleaned, r.n_replaced) for r in session_pipeline(d, "k", "session", "t", b"k").collect()}
+    alias = out[1][0].split()[2]
+    assert out[1] == (f"write to {alias} now", 1) and out[2] == (f"{alias}, {alias}!", 2) and out[3] == (None, 0)
+    assert alias not in out[5][0] and out[5][1] == 1 and out[4][0] == out[5][0]
+
+
+def test_layers_of_settings_fail_closed():
+    from gleaner.config import layered
+
+    assert layered({"strategy": "mask"}, environment={"GLEANER_STRATEGY": "hash"})["strategy"] == "hash"
+    for bad in ({"strategy": "none"}, {"colour": "red"}):
+        with pytest.raises(ValueError):
+            layered(bad, environment={})
+
+
+def test_a_catalogue_with_a_bad_entry_is_not_used(spark):
+    from gleaner.operators.review import catalogue, run_named
+
+    c, b = (spark.createDataFrame(x, "model string, n long") for x in ([("a", 1), ("b", 0)], [("z", 9)]))
+    ok = F.col("n") > 0
+    assert [r.model for r in catalogue(c, b, ok).collect()] == ["z"] and [r.model for r in catalogue(c.limit(1), b, ok).collect()] == ["a"] and [r.model for r in catalogue(c.limit(0), b, ok).collect()] == ["z"]
+    with pytest.raises(ValueError):
+        run_named(c, "model", "ab")
+
+
 def test_json_keeps_all_but_its_values(spark):
     rows = [(1, '{"a": "mail x@y.example.net", "n": 1.50, "b": [true, null, "p@q.example.net", {}]}'), (2, None), (3, "{bad"), (4, '{"k":  "plain"}'), (5, "[]"), (6, '"solo@x.example.net"')]
     d = spark.createDataFrame(rows, "id int, text string")
