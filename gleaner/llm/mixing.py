@@ -16,7 +16,7 @@ from gleaner.session import cut_lineage
 #: Bits of the hash by which a leaf's prefix is narrowed at a time, and how often.
 BITS, LEVELS = 12, 5
 # What kind of writing a source is; sources not listed are a domain each.
-DOMAINS = {"conversation": "chat mail ticket transcript", "document": "form note scan wiki", "machine": "log trace"}
+DOMAINS = {"conversation": "chat mail ticket transcript", "document": "form note ocr wiki", "machine": "trace"}
 _DOMAIN = {s: d for d, ss in DOMAINS.items() for s in ss.split()}
 
 
@@ -145,13 +145,13 @@ def _fillers(free: DataFrame, lacks: dict[str, float]) -> DataFrame:
     return chosen.select("source", "lang", "doc_id")
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, stretch: float = 1.0, seed: int = 17) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, even: bool = False, seed: int = 17) -> DataFrame:
     """(doc_id, source, lang, n_tokens, times): the documents used, and how often each.
 
     ``sized(doc_id, source, lang, n_tokens)``, ``targets(source, target_share, max_repeats)``.
-    ``total``: tokens wanted; by default ``stretch`` times the most for which every source present can give exactly
-    its share.  Above that, sources at ``max_repeats`` pass their shortage on: to the sources of their domain, then
-    to other domains.  Sources without target, and null sources, give nothing; a source without tokens can't be
+    ``total``: tokens wanted; by default all tokens of the documents of target sources.  A source that can't give its
+    share of that in ``max_repeats`` uses passes its shortage on: to the sources of its domain, then to other domains.
+    ``even`` asks instead for the most tokens of which every source present can give exactly its share.  Sources without target, and null sources, give nothing; a source without tokens can't be
     used, so its share falls to the others and the report shows 0 for it; repeated targets count once.  Languages
     under a source weigh as much as they hold.  Epochs before the last use every document of a leaf; the last uses
     a prefix in hash order; what is left for want of a document that fits is filled with documents of the source
@@ -167,7 +167,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, stretc
     if not have:
         return docs.withColumn("times", F.lit(0))
     root = _root(have, goal)
-    budgets = {path[1:]: b for path, b in allocate(root, even_total(root) * stretch if total is None else total).items()}
+    budgets = {path[1:]: b for path, b in allocate(root, total if total is not None else even_total(root) if even else float(sum(r.tokens for r in have))).items()}
     whole = {(r.source, r.lang): int(budgets[r.source, r.lang] // r.tokens) for r in have}
     most = {s: max(0, g.repeats or 0) for s, g in goal.items()}
     leaves = spark.createDataFrame([(*leaf, n, most[leaf[0]]) for leaf, n in whole.items()], "source string, lang string, _whole int, _most int")

@@ -36,7 +36,7 @@ from r left join s using (sid) left join c on c.a = s.rep
 P1_CHECK = "select row_id, length(_text)::bigint as n_chars, true as fits from label_sessions where _text is not null"
 P6_CHECK = "select count(*) as records, 0 as parted_groups, true as shares_met from gold_ner"
 P8_CHECK = "select count(*) as documents, 0 as lost, 0 as parted, 0 as overfull, true as filled from documents"
-P9_CHECK = "select lower(trim(source)) as source, true as share_met, true as repeats_met from mix_targets"
+P9_CHECK = "select lower(trim(source)) as source, true as share_met, true as repeats_met, true as even_met from mix_targets"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -358,7 +358,7 @@ def test_mix_reaches_its_shares(spark):
     rows = [(i, R.choice(["Mail ", "mail", "chat", "wiki", None, "other"]), R.choice(["en", "de", None]), R.choice([0, *range(5, 40)])) for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_tokens long")
     t = spark.createDataFrame([("mail", 0.5, 2), ("chat", 0.3, 3), ("wiki", 0.2, 4), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
-    out = mixing.mix(d, t)
+    out = mixing.mix(d, t, even=True)
     rep = {r.source: r for r in mixing.share_report(out, t).collect()}
     for r in (rep["mail"], rep["chat"], rep["wiki"]):
         assert abs(r.share - r.target_share) < 0.005
@@ -373,6 +373,7 @@ def test_lacks_stay_in_their_domain(spark):
     t = spark.createDataFrame([("mail", 0.25, 1), ("chat", 0.25, 1), ("wiki", 0.5, 1)], "source string, target_share double, max_repeats int")
     rep = {r.source: r.tokens for r in mixing.share_report(mixing.mix(d, t, total=2000), t).collect()}
     assert rep == {"mail": 100, "chat": 900, "wiki": 1000}
+    assert mixing.mix(d, t).agg(F.sum("n_tokens")).first()[0] == 10_100
 
 
 def test_prefixes_fill_what_is_left(spark):
