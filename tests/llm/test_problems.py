@@ -13,6 +13,12 @@ R = random.Random(5)
 WORDS = "amber valley ledger harbour minute folder signal copper lantern orchid meadow garden window silver river".split()
 
 
+@pytest.fixture(autouse=True)
+def seeded():
+    """Every test has the same numbers, whatever ran before."""
+    R.seed(5)
+
+
 def prose(n):
     return " ".join(R.choice(WORDS) + R.choice(["", "", ",", ".", ".\n"]) for _ in range(n))
 
@@ -395,7 +401,11 @@ def test_sentences_without_wrapping():
 
 
 def test_subjects_of_mixed_documents(spark):
-    own = {"law": ["The court heard the claim", "The judge read the contract"], "sport": ["The team won the match", "The coach praised the runner"], "none": ["Please read the next passage", "Nothing else was changed here"]}
+    own = {
+        "law": ["The court heard the claim", "The judge signed the contract", "An appeal reached the tribunal", "Their lawyer filed the statute"],
+        "sport": ["The team won the match", "The coach praised the runner", "A striker scored the goal", "Their league opened the stadium"],
+        "none": ["Please see the next passage", "Nothing else was changed here", "More follows later this week", "Kindly answer before the weekend"],
+    }
     docs, labels = [], []
     for i in range(160):
         s = [["law"], ["sport"], ["law", "sport"]][i % 3]
