@@ -409,7 +409,7 @@ def test_subjects_of_mixed_documents(spark):
     docs, labels = [], []
     for i in range(160):
         s = [["law"], ["sport"], ["law", "sport"]][i % 3]
-        sents = [R.choice(own[x]) for x in s for _ in range(3)] + [R.choice(own["none"])]
+        sents = [R.choice(own[x]) for x in s for _ in range(6)] + [R.choice(own["none"])]
         R.shuffle(sents)
         docs.append((i, ". ".join(sents) + ".", 0))
         labels += [(i, x) for x in s] if i < 80 else []
